@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
+from quillspark.llm.embedding_dedup import embedding_dedup
 from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.html_text import extract_pages
 from quillspark.llm.jaccard_join import jaccard_components
+from quillspark.llm.langid import identify
 from quillspark.llm.mixing import mix
+from quillspark.llm.sentencepieces import encode
 from quillspark.llm.substring_dedup import substring_dedup
+from quillspark.llm.url_filter import url_filter
+from quillspark.llm.warc import write_and_read
+
+#: The model file of op2 and the pipeline.
+PIECES = os.environ.get("QUILLSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read(table(spark, sf_dir, "pages"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -27,9 +62,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_mixing, op9_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_language_id, op4_mixing, op5_url_filter, op6_warc, op7_html_extraction, op8_embedding_dedup, op9_jaccard_join, op10_exact_dedup)}
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE = {
     "op1_substring_dedup": rf"""
@@ -41,7 +76,7 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
  cov AS (SELECT doc_id, list(DISTINCT p) AS p
          FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
- sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(p, i)) END, ' ')) AS kept_sha256
+ sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(p, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN cov USING (doc_id)""",
     "op4_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
@@ -58,6 +93,60 @@ WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM doc
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
        FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, extra - before)) AS BIGINT) AS taken FROM r""",
+    "op5_url_filter": r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ b AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM p),
+ l AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+ c AS (SELECT bare, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM b LEFT JOIN l USING (page_id) GROUP BY 1),
+ h AS (SELECT *, CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare
+        WHEN regexp_matches(bare, '(^|\.)[^.]+\.(?:ac|co|com|edu|gov|net|or|org)\.[a-z]{2}$') THEN regexp_extract(bare, '[^.]+\.(?:ac|co|com|edu|gov|net|or|org)\.[a-z]{2}$')
+        WHEN regexp_extract(bare, '[^.]+\.[^.]+$') = '' THEN bare ELSE regexp_extract(bare, '[^.]+\.[^.]+$') END AS domain FROM c),
+ hs AS (SELECT *, CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN '' ELSE regexp_extract(domain, '^[^.]*\.?(.*)$', 1) END AS suffix FROM h),
+ m AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM hs),
+ s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m0) AS m0 FROM hs, m GROUP BY 1),
+ ks AS (SELECT sum((bad - n * m0) ** 2 / n) AS s, sum(m0 * (1 - m0)) AS v, sum((n - 1) * m0 * (1 - m0)) AS o FROM s0 WHERE n > 0),
+ ks1 AS (SELECT CASE WHEN coalesce(o, 0) = 0 THEN 10.0 WHEN (s - v) / o > 0 THEN least(1000.0, greatest(1.0, o / (s - v) - 1)) ELSE 1000.0 END::DOUBLE AS k FROM ks),
+ s1 AS (SELECT suffix, (k * m0 + bad) / (k + n) AS ms FROM s0, ks1),
+ d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(ms) AS ms FROM hs JOIN s1 USING (suffix) GROUP BY 1, 2),
+ kd AS (SELECT sum((bad - n * ms) ** 2 / n) AS s, sum(ms * (1 - ms)) AS v, sum((n - 1) * ms * (1 - ms)) AS o FROM d0 WHERE n > 0),
+ kd1 AS (SELECT CASE WHEN coalesce(o, 0) = 0 THEN 10.0 WHEN (s - v) / o > 0 THEN least(1000.0, greatest(1.0, o / (s - v) - 1)) ELSE 1000.0 END::DOUBLE AS k FROM kd),
+ d1 AS (SELECT suffix, domain, (k * ms + bad) / (k + n) AS md FROM d0, kd1),
+ h0 AS (SELECT hs.*, md FROM hs JOIN d1 USING (suffix, domain)),
+ kh AS (SELECT sum((bad - n * md) ** 2 / n) AS s, sum(md * (1 - md)) AS v, sum((n - 1) * md * (1 - md)) AS o FROM h0 WHERE n > 0),
+ kh1 AS (SELECT CASE WHEN coalesce(o, 0) = 0 THEN 10.0 WHEN (s - v) / o > 0 THEN least(1000.0, greatest(1.0, o / (s - v) - 1)) ELSE 1000.0 END::DOUBLE AS k FROM kh),
+ h1 AS (SELECT bare, k, n, (k * md + bad) / (k + n) AS mean FROM h0, kh1),
+ h2 AS (SELECT bare, mean - 1.645 * sqrt(mean * (1 - mean) / (k + n + 1)) AS low FROM h1),
+ r(rule, name, start, said) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+ f AS (SELECT p.page_id, p.host, p.path, max_by(rule, length(rule)) AS rule, max_by(said, length(rule)) AS said
+       FROM (SELECT DISTINCT host, path, page_id FROM p) p JOIN r ON (p.host = name OR p.host LIKE '%.' || name) AND starts_with(p.path, start) GROUP BY 1, 2, 3)
+SELECT b.page_id, b.host, b.path, f.rule, coalesce(f.said, CASE WHEN h2.low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(h2.low, 9) AS bad_lower_bound
+FROM b LEFT JOIN h2 USING (bare) LEFT JOIN f ON b.page_id = f.page_id AND b.host = f.host AND b.path = f.path""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+ d AS (SELECT page_id, payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM d""",
+    "op8_embedding_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ g AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v
+       WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+ reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a),
+ comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1), cnt AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT v.vec_id, coalesce(cnt.n, 0) AS n_links, comp.c AS component_id, v.vec_id = comp.c AS kept
+FROM v JOIN comp ON v.vec_id = comp.id LEFT JOIN cnt ON v.vec_id = cnt.a""",
+    "op9_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS t FROM d)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ reach(id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a),
+ comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, comp.c AS component_id FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op10_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
  w AS (SELECT doc_id, sha256(n) AS text_sha256,
