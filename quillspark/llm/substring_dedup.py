@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkernel as tk
-from quillspark.llm.common import NO_ID, Cuts, partitions
+from quillspark.llm.common import NO_ID, Cuts, lookup_join, partitions
 
 ANCHOR, MAX_RUNS, BATCHES = 16, 1, 2
 _CHECK = 0xA0761D6478BD642F
@@ -69,9 +69,16 @@ def _documents(window: int):
                 at, h = anchors(w, window)
                 n = np.diff(w.first)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                sizes = np.bincount(doc, minlength=j - i)
+                order = np.lexsort((at, h, doc))  # an anchor that repeats in a text is one row with its positions
+                at, h, doc = at[order], h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                sizes = np.bincount(doc[new], minlength=j - i)
+                each = np.diff(np.append(np.flatnonzero(new), len(h)))
+                inner = tk.lists((at - w.first[doc]).astype(np.int32), each, pa.int32())
+                outer = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(w.whole().view(np.int64)), pa.array(w.whole(_CHECK).view(np.int64)), tk.lists(h.view(np.int64), sizes, pa.int64()), tk.lists((at - w.first[doc]).astype(np.int32), sizes, pa.int32())],
+                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(w.whole().view(np.int64)), pa.array(w.whole(_CHECK).view(np.int64)), tk.lists(h[new].view(np.int64), sizes, pa.int64()), pa.ListArray.from_arrays(outer, inner)],
                     names=["_id", "n_words", "s1", "s2", "h", "pos"],
                 )
 
@@ -117,8 +124,8 @@ def _windows(window: int, k: int):
     return run
 
 
-def _removal(window: int):
-    """Drops covered words: the result's rows."""
+def _removal(window: int, digest: bool):
+    """Drops covered words: the result's rows, with the kept text or its SHA-256."""
 
     def run(batches):
         for batch in batches:
@@ -144,17 +151,11 @@ def _removal(window: int):
                         kept.append(b" ".join([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
                     else:
                         kept.append(b" ".join(raw[edge[d] : edge[d + 1]].split()))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cut.astype(np.int64)), pa.array(kept, pa.binary())], names=["_id", "n_words", "n_removed", "kept"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cut.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept] if digest else kept, pa.string() if digest else pa.binary())], names=["_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _digest(batches):
-    for batch in batches:
-        sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(3)]
-        yield pa.record_batch([*batch.columns[:3], pa.array(sha)], names=["_id", "n_words", "n_removed", "kept_sha256"])
-
-
 class WindowIndex:
     """Sorted immutable runs (h1, h2, first) of the windows of all batches so far."""
 
@@ -189,18 +190,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: id, n_words, n_removed and kept_sha256, or the kept text itself with texts_too."""
     cuts = Cuts(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
-    info = cuts.cut(texts.mapInArrow(_documents(window), "_id long, n_words long, s1 long, s2 long, h array<long>, pos array<int>"))
+    info = cuts.cut(texts.mapInArrow(_documents(window), "_id long, n_words long, s1 long, s2 long, h array<long>, pos array<array<int>>"))
     rep = info.where(F.col("n_words") >= window).groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copied = cuts.cut(rep.where("n > 1"))
     # a copy goes whole; of sequences that occur once nothing is joined
-    from quillspark.llm.common import lookup_join
-
     keyed = info.select("_id", "n_words", "s1", "s2", F.concat_ws(":", "s1", "s2").alias("s"))
     known = lookup_join(keyed, copied.select(F.concat_ws(":", "s1", "s2").alias("s"), "rep", "n"), "s", "n")
     gone = cuts.cut(known.where((F.col("n_words") >= window) & (F.col("_id") > F.col("rep"))).select("_id", "s1").distinct())
     spots = info.join(gone, ["_id", "s1"], "left_anti").select("_id", "s1", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("_id", "s1", F.col("a.h").alias("h"), F.col("a.pos").alias("pos"))
     live = spots.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h")
-    around = spots.join(live, "h", "left_semi").groupBy("_id", "s1").agg(F.collect_list("pos").alias("pos"))
+    around = spots.join(live, "h", "left_semi").groupBy("_id", "s1").agg(F.flatten(F.collect_list("pos")).alias("pos"))
     marks = lambda df: df.groupBy("_id").agg(F.collect_list(F.struct("s1", "gone", "pos")).alias("marks"))
     found = texts.join(marks(around.withColumn("gone", F.lit(False))), "_id").select("_id", "_t", "marks")
     found = cuts.cut(found.mapInArrow(_windows(window, ANCHOR), "h1 long, h2 long, _id long, s1 long, pos int"))
@@ -220,8 +219,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         index.compact()
     where = covered.groupBy("_id", "s1").agg(F.collect_list("pos").alias("pos")).withColumn("gone", F.lit(False))
     where = where.unionByName(gone.withColumn("gone", F.lit(True)).withColumn("pos", F.array().cast("array<int>")))
-    out = texts.join(marks(where), "_id", "left").select("_id", "_t", "marks").mapInArrow(_removal(window), "_id long, n_words long, n_removed long, kept binary")
+    out = texts.join(marks(where), "_id", "left").select("_id", "_t", "marks")
+    out = out.mapInArrow(_removal(window, not texts_too), f"_id long, n_words long, n_removed long, kept {'binary' if texts_too else 'string'}")
     first = F.when(F.col("_id") != NO_ID, F.col("_id")).alias(id_col)
-    if texts_too:
-        return out.select(first, "n_words", "n_removed", F.col("kept").cast("string").alias(text_col))
-    return out.mapInArrow(_digest, "_id long, n_words long, n_removed long, kept_sha256 string").select(first, "n_words", "n_removed", "kept_sha256")
+    return out.select(first, "n_words", "n_removed", F.col("kept").cast("string").alias(text_col if texts_too else "kept_sha256"))
