@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules whose import registers their queries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("quillspark.plans.core", "quillspark.plans.text")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
