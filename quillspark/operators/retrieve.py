@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which the smaller side of a containment join is broadcast; beyond it words are joined, not texts.
+#: Queries up to which their vectors are broadcast.
 SMALL = 10_000
 
 
@@ -25,7 +25,8 @@ def dense_topk(items: DataFrame, queries: DataFrame, item_id: str, query_id: str
     """
     q = queries.select(F.col(query_id).alias("_q"), unit(vector).alias("_u"))
     q = q.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(block))).groupBy("_b").agg(F.collect_list(F.struct("_q", "_u")).alias("_all"))
-    pairs = items.select(F.col(item_id).alias("_i"), unit(vector).alias("_v")).join(F.broadcast(q)).select("_i", "_v", F.explode("_all").alias("_x"))
+    small = F.broadcast if queries.count() <= SMALL else (lambda x: x)
+    pairs = items.select(F.col(item_id).alias("_i"), unit(vector).alias("_v")).join(small(q)).select("_i", "_v", F.explode("_all").alias("_x"))
     score = F.aggregate(F.zip_with("_v", "_x._u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     s = pairs.select(F.col("_x._q").alias(query_id), F.col("_i").alias(item_id), F.round(score, 6).alias("score"))
     n = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
