@@ -7,7 +7,7 @@ other, those of one id and other texts are judged each by itself; the empty tabl
 
 1. Each document's word sequence is hashed.  A document whose whole sequence occurs under a smaller id goes whole (if
    it has a window at all), and its windows need no look: those of the smaller id stand for them.
-2. Anchors: of the ANCHOR-word hashes, the smallest in any window.  Two equal windows have an equal anchor, at the
+2. Anchors: of the hashes of ANCHOR words (a third of the window at most), the smallest in any window.  Two equal windows have an equal anchor, at the
    same place, so windows without an anchor that another document has cannot repeat and never reach the index.
 3. The index: sorted immutable runs (hash, check hash, first id) of the windows of history.  Documents come in batches
    by id.  A batch's windows are merge-joined with each run by the hash, verified by the independent check hash, and
@@ -44,7 +44,7 @@ def _slide(x: np.ndarray, n: int, how) -> np.ndarray:
     return x
 
 
-def anchors(w: tk.Words, window: int, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+def anchors(w: tk.Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (words) and hashes of anchors of the texts of w."""
     h = w.windows(k)
     span = window - k + 1
@@ -58,7 +58,7 @@ def anchors(w: tk.Words, window: int, k: int = ANCHOR) -> tuple[np.ndarray, np.n
     return at, h[at]
 
 
-def _documents(window: int):
+def _documents(window: int, k: int):
     """Each document: words, hash of its sequence (two lanes), anchors with their positions."""
 
     def run(batches):
@@ -66,7 +66,7 @@ def _documents(window: int):
             data, offs = tk.buffers(batch.column(1))
             for i, j in tk.pieces(offs):
                 w = tk.Words(data, offs[i : j + 1])
-                at, h = anchors(w, window)
+                at, h = anchors(w, window, k)
                 n = np.diff(w.first)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 order = np.lexsort((at, h, doc))  # an anchor that repeats in a text is one row with its positions
@@ -188,9 +188,9 @@ class WindowIndex:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = BATCHES, texts_too: bool = False) -> DataFrame:
     """One row a document: id, n_words, n_removed and kept_sha256, or the kept text itself with texts_too."""
-    cuts = Cuts(docs.sparkSession)
+    cuts, k = Cuts(docs.sparkSession), min(ANCHOR, max(1, window // 3))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
-    info = cuts.cut(texts.mapInArrow(_documents(window), "_id long, n_words long, s1 long, s2 long, h array<long>, pos array<array<int>>"))
+    info = cuts.cut(texts.mapInArrow(_documents(window, k), "_id long, n_words long, s1 long, s2 long, h array<long>, pos array<array<int>>"))
     rep = info.where(F.col("n_words") >= window).groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copied = cuts.cut(rep.where("n > 1"))
     # a copy goes whole; of sequences that occur once nothing is joined
@@ -202,7 +202,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     around = spots.join(live, "h", "left_semi").groupBy("_id", "s1").agg(F.flatten(F.collect_list("pos")).alias("pos"))
     marks = lambda df: df.groupBy("_id").agg(F.collect_list(F.struct("s1", "gone", "pos")).alias("marks"))
     found = texts.join(marks(around.withColumn("gone", F.lit(False))), "_id").select("_id", "_t", "marks")
-    found = cuts.cut(found.mapInArrow(_windows(window, ANCHOR), "h1 long, h2 long, _id long, s1 long, pos int"))
+    found = cuts.cut(found.mapInArrow(_windows(window, k), "h1 long, h2 long, _id long, s1 long, pos int"))
     cuts.drop(info)
 
     index, covered = WindowIndex(cuts), None
