@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,12 @@ from quillspark.llm import textkernel as tk
 U = np.uint64
 BLANK = "▁"
 #: Units that a worker remembers with their ids; beyond, it starts anew.
-CACHE = 800_000
+CACHE = 1_000_000
+#: Bits of the table that tells most substrings from pieces before the keys are searched.
+MAYBE_BITS = 20
 _NONE = np.iinfo(np.int64).max
+#: Cuts of a text into units, finest first; one is of use if each piece is one unit.
+_CUTS = (r" *[^\W\d_¹²³¼½¾]+| *\d+| *(?:[^ \n\w]|[_¹²³¼½¾])+|\n+| +", r" *[^ \n]+|\n+| +")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -90,6 +95,8 @@ class Pieces:
         keys = np.concatenate([self.hash_rows(np.array([[ord(c) for c in self.piece[i]]], np.uint64)) for i in probed])
         order = np.argsort(keys)
         self.key, self.key_id = keys[order], np.array(probed)[order]
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
+        self.maybe[(self.key >> U(64 - MAYBE_BITS)).astype(np.int64)] = True
         self.most = max(len(self.piece[i]) for i in probed)
         self.chars = np.zeros((len(self.piece), self.most), np.int64)
         for i in probed:
@@ -165,8 +172,8 @@ class Pieces:
             x, y = np.where(later, self.right[x], x), np.where(later, y, self.left[y])
         return ok
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length; -1 - code point stands for a character without a piece."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, word after word, and how many each has; -1 - code point: no piece."""
         size = len(words[0])
         cp = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), size).astype(np.int64)
         n = len(words)
@@ -182,44 +189,54 @@ class Pieces:
         for i in range(1, size + 1):
             top, piece, step = np.full(n, -np.inf), np.full(n, none, np.int64), np.ones(n, np.int32)
             alone = np.full(n, True)
-            for m in range(1, min(i, self.most) + 1):
-                h = _finish((total[:, i] - total[:, i - m]) * down[i - m], m)
-                at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-                hit = np.flatnonzero(self.key[at] == h)
-                if not len(hit):
-                    continue
-                got = self.key_id[at[hit]]
-                same = (self.chars[got, :m] == cp[hit, i - m : i]).all(axis=1)
-                hit, got = hit[same], got[same]
-                if m == 1:
-                    alone[hit] = False
-                if self.bpe:
-                    ok = self.reachable[got] & np.isfinite(best[hit, i - m])
-                    prev = last[hit, i - m]
-                    joined = np.flatnonzero(ok & (prev >= 0))
-                    ok[joined] = self.seam(prev[joined], got[joined])
-                    value = np.where(ok, 0.0, -np.inf)
-                else:
-                    value = best[hit, i - m] + self.score[got]
-                better = value > top[hit]
-                hit, got = hit[better], got[better]
-                top[hit], piece[hit], step[hit] = value[better], got, m
+            most = min(i, self.most)
+            sizes = np.arange(1, most + 1)
+            h = _finish((total[:, i, None] - total[:, i - sizes]) * down[i - sizes], sizes.astype(U))
+            row, m = np.nonzero(self.maybe[(h >> U(64 - MAYBE_BITS)).astype(np.int64)])  # few substrings are pieces
+            h, m = h[row, m], m + 1
+            at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+            hit = np.flatnonzero(self.key[at] == h)
+            got, row, m = self.key_id[at[hit]], row[hit], m[hit]
+            if not len(row):
+                same = np.empty(0, bool)
+            else:  # hits are compared character by character
+                place = tk.spread(np.zeros(len(m), np.int64), m)
+                equal = self.chars[np.repeat(got, m), place] == cp[np.repeat(row, m), np.repeat(i - m, m) + place]
+                same = np.logical_and.reduceat(equal, np.cumsum(m) - m)
+            got, row, m = got[same], row[same], m[same]
+            alone[row[m == 1]] = False
+            if self.bpe:
+                ok = self.reachable[got] & np.isfinite(best[row, i - m])
+                prev = last[row, i - m]
+                joined = np.flatnonzero(ok & (prev >= 0))
+                ok[joined] = self.seam(prev[joined], got[joined])
+                value = np.where(ok, 0.0, -np.inf)
+            else:
+                value = best[row, i - m] + self.score[got]
+            # the maximum of each word, the shortest of equals
+            order = np.lexsort((m, -value, row))
+            row, first = np.unique(row[order], return_index=True)
+            pick = order[first]
+            better = value[pick] > -np.inf
+            row, pick = row[better], pick[better]
+            top[row], piece[row], step[row] = value[pick], got[pick], m[pick]
             value = best[:, i - 1] + (0.0 if self.bpe else low)  # a character without a piece
             unknown = alone & (value > top)
             top[unknown], piece[unknown], step[unknown] = value[unknown], none, 1
             best[:, i], last[:, i], back[:, i] = top, piece, step
-        out = []
-        last, back, cp = last.tolist(), back.tolist(), cp.tolist()
-        for k in range(n):
-            i, ids = size, []
-            while i:
-                p = last[k][i]
-                ids.append(p if p < none else -1 - cp[k][i - 1])
-                i -= back[k][i]
-            out.append(ids[::-1])
-        return out
-
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
+        # backpointers of all words are followed at once, from the ends
+        ids, live, end, steps = [], np.arange(n), np.full(n, size), []
+        while len(live):
+            p = last[live, end]
+            ids.append(np.where(p < none, p, -1 - cp[live, end - 1]))
+            steps.append(live)
+            end = end - back[live, end]
+            live, end = live[end > 0], end[end > 0]
+        row = np.concatenate(steps)
+        order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(x) for x in steps]), row))
+        return np.concatenate(ids)[order], np.bincount(row, minlength=n)
+
+    def encode_units(self, units: list[str]) -> list[list[int]]:
         """Ids of units, each blanks and then no blank."""
         forms = [u.replace(" ", BLANK) for u in units]
         if self.bpe:
@@ -234,9 +251,11 @@ class Pieces:
                 by_size.setdefault(len(c), []).append(c)
         known = {"": []}
         for size, group in by_size.items():
-            step = max(1, 400_000 // size)
+            step = max(1, 40_000 // size)  # its arrays stay in the cache
             for i in range(0, len(group), step):
-                known.update(zip(group[i : i + step], self.viterbi(group[i : i + step]), strict=True))
+                flat, count = self.viterbi(group[i : i + step])
+                end = np.cumsum(count)
+                known.update((w, flat[b - n : b].tolist()) for w, n, b in zip(group[i : i + step], count.tolist(), end.tolist(), strict=True))
         one = None
         if self.bpe:
             one = next((i for i in self.key_id[self.key == self.hash_rows(np.array([[ord(BLANK)]], np.uint64))[0]].tolist()), -1 - ord(BLANK))
@@ -248,7 +267,7 @@ class Pieces:
                     ids = self.blank_run(k)
                 elif k > 1:
                     ids = self.blank_run(k) + ids[1:] if ids[0] == one else self.blank_run(k - 1) + ids
-            out.append(np.array(self._spell(ids), np.int32))
+            out.append(self._spell(ids))
         return out
 
     def _spell(self, ids: list[int]) -> list[int]:
@@ -272,8 +291,8 @@ class Pieces:
         return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
 
 
-def _finish(h: np.ndarray, size: int) -> np.ndarray:
-    return tk.mix(h + U(size * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+def _finish(h: np.ndarray, size) -> np.ndarray:
+    return tk.mix(h + np.asarray(size, U) * U(tk._P))
 
 
 class Codec:
@@ -281,8 +300,9 @@ class Codec:
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        newline = any("\n" in x for x in pieces.piece)
-        self.units = re.compile(" *[^ ]+| +" if newline else " *[^ \n]+|\n+| +").findall
+        # units are cut further where no piece goes on: at line ends, and between letters, digits and the rest
+        cut = next((c for c in _CUTS if all(re.fullmatch(c, p.replace(BLANK, " ")) for p in np.array(pieces.piece, object)[np.isin(pieces.kind, (_NORMAL, _USER))])), " *[^ ]+| +")
+        self.units = re.compile(cut).findall
         self.blob, self.start, self.size = pieces.texts_of()
         self._reset()
 
@@ -291,22 +311,37 @@ class Codec:
         self.ids, self.first, self.count, self.used = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.at) + len(units) > CACHE:
-            self._reset()
-        fresh = sorted(units)
-        got = self.p.encode_units(fresh)
-        flat = np.concatenate(got)
+        plain: dict[int, list[str]] = {}
+        other = []
+        for u in units:
+            if u[:2] == "  " or u == " ":
+                other.append(u)
+            else:
+                plain.setdefault(len(u), []).append(u)
+        for size, group in plain.items():
+            step = max(1, 60_000 // size)  # its arrays stay in the cache
+            for i in range(0, len(group), step):
+                part = group[i : i + step]
+                flat, count = self.p.viterbi([u.replace(" ", BLANK) for u in part])
+                if flat.min() < 0:  # characters without a piece
+                    other += part
+                else:
+                    self._add(part, flat, count)
+        if other:
+            got = self.p.encode_units(other)
+            self._add(other, np.fromiter(chain.from_iterable(got), np.int32), np.array([len(g) for g in got]))
+
+    def _add(self, units: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         n = len(self.at)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        while n + len(fresh) > len(self.first):
+        while n + len(units) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
-        size = np.array([len(g) for g in got])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(fresh)] = self.used + np.cumsum(size) - size
-        self.count[n : n + len(fresh)] = size
+        self.first[n : n + len(units)] = self.used + np.cumsum(size) - size
+        self.count[n : n + len(units)] = size
         self.used += len(flat)
-        self.at.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.at.update(zip(units, range(n, n + len(units)), strict=True))
 
     def form(self, text: str) -> str:
         text = text.replace(BLANK, " ")
@@ -321,12 +356,15 @@ class Codec:
             u = self.units(self.form(t)) if t else []
             per.append(len(u))
             units += u
-        new = set(units).difference(self.at)
-        if new:
+        at = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
+        miss = np.flatnonzero(at < 0).tolist()
+        if miss:
+            new = {units[i] for i in miss}
             if len(self.at) + len(new) > CACHE:
-                new = set(units)
+                self._reset()
+                new, miss = set(units), range(len(units))
             self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+            at[miss] = [self.at[units[i]] for i in miss]
         flat = self.ids[tk.spread(self.first[at], self.count[at])]
         total = np.concatenate([[0], np.cumsum(self.count[at])])
         end = np.cumsum(per)
