@@ -13,17 +13,20 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets a watermark, which needs times with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of users: events less than a gap apart."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    w = e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    w = _timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
     return w.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
 def counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events by kind in tumbling windows; what comes later than `late` is not counted by a stream."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    w = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    w = _timed(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
