@@ -40,10 +40,14 @@ def detect_structure(spark, d):
     return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in R.structure("text", PATTERNS, ("(?i)the",)).items()])
 
 
-@query("classical_detect")
+_TEXTS = ("之乎者也" * 20, "的了着过" * 20, "者不知也。" * 12, "山海经云" * 15, "short")
+
+
+@query("classical_detect", f"""WITH t AS (SELECT event_id, {_pick_sql(_TEXTS, 'event_id')} AS t FROM events), c AS (SELECT event_id, length(t) AS n, len(regexp_extract_all(t, '[{V.CLASSICAL_PARTICLES}]')) * 1000.0::DOUBLE / length(t) AS o,
+ len(regexp_extract_all(t, '[{V.MODERN_PARTICLES}]')) * 1000.0::DOUBLE / length(t) AS m, len(regexp_extract_all(t, '者[^。]*也')) * 1000.0::DOUBLE / length(t) AS p FROM t)
+SELECT event_id, n >= 50 AND ((o > 50 AND m < 10) OR (o > 30 AND p > 2) OR o / greatest(m, 1) > 5) AS classical FROM c""")
 def classical_detect(spark, d):
-    words = ("之乎者也" * 20, "的了着过" * 20, "者不知也。" * 12, "山海经云" * 15, "short")
-    return table(spark, d, "events").withColumn("t", _pick(words, "event_id")).select("event_id", R.is_classical("t").alias("classical"))
+    return table(spark, d, "events").withColumn("t", _pick(_TEXTS, "event_id")).select("event_id", R.is_classical("t").alias("classical"))
 
 
 @query("evidence_level", "WITH e AS (SELECT doc_id, text AS s, CASE doc_id % 5 WHEN 0 THEN substring(text, 3, 20) WHEN 1 THEN replace(substring(text, 3, 20), ' ', '  ') WHEN 2 THEN substring(text, 1, 4) || 'ZZZZZZ' WHEN 3 THEN '' ELSE 'ZZZZQQQQ' END AS e FROM documents), n AS (SELECT *, regexp_replace(s, '\\s+', '', 'g') AS ns, regexp_replace(e, '\\s+', '', 'g') AS ne FROM e) SELECT doc_id, CASE WHEN e = '' OR s = '' THEN 'UNSUPPORTED' WHEN contains(s, e) THEN 'EXACT' WHEN contains(ns, ne) THEN 'NORMALIZED' WHEN length(e) >= 4 AND (contains(s, left(e, 4)) OR contains(s, right(e, 4))) THEN 'NEAR' ELSE 'UNSUPPORTED' END AS level FROM n")
@@ -70,11 +74,28 @@ def is_generic(spark, d):
     return table(spark, d, "events").select("event_id", _pick(_NAMES, "event_id").alias("name")).withColumn("generic", R.is_generic("name"))
 
 
-_A = ("师父", "赵云", "张三丰", "宋江", "宋江", "李逵", "林冲", "abcd", "abcx", "王")
-_B = ("小姐", "钱云", "张三李", "宋江", "宋汪", "李逵先生", "林冲之子孙", "abce", "abxyz", "王老")
+_A = ("师父", "赵云", "张三丰", "宋江", "宋江", "李逵", "林冲", "abcd", "abcx", "wang")
+_B = ("小姐", "钱云", "张三李", "宋江", "宋汪", "李逵先生", "林冲之子孙", "abce", "abxyz", "wangx")
+
+
+def _alias_sql() -> str:
+    generic = lambda n: _GENERIC_SQL.replace("length(n)", f"length({n})").replace("ends_with(n,", f"ends_with({n},").replace("left(n,", f"left({n},").replace("n = ''", f"{n} = ''").replace("list_contains(g, n)", f"list_contains(g, {n})")
+    surname = lambda n: f"CASE WHEN length({n}) >= 2 AND contains({_q(V.SURNAMES)}, left({n}, 1)) THEN left({n}, 1) END"
+    base = f"SELECT event_id, {_pick_sql(_A, 'event_id')} AS a, {_pick_sql(_B, 'event_id')} AS b, {_list(V.GENERIC)} AS g, {_list([*V.TITLE_PREFIXES, *V.SURNAMES])} AS p FROM events"
+    rules = [
+        (f"({generic('a')}) AND ({generic('b')})", "BLOCK", 0.9),
+        (f"({surname('a')}) <> ({surname('b')})", "BLOCK", 0.95),
+        ("k >= 2 AND abs(length(a) - length(b)) <= 2 AND length(a) > k AND length(b) > k", "BLOCK", 0.85),
+        ("a = b", "MERGE", 0.99),
+        ("levenshtein(a, b) <= 1", "MERGE", 0.7),
+        (f"(contains(a, b) OR contains(b, a)) AND list_contains({_list(V.MERGE_TITLES)}, substring(CASE WHEN length(a) < length(b) THEN b ELSE a END, CAST(least(length(a), length(b)) + 1 AS INT)))", "MERGE", 0.6),
+        ("contains(a, b) OR contains(b, a)", "UNCERTAIN", 0.4),
+    ]
+    case = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN {_q(r[1]) if k == 1 else f'{r[2]}::DOUBLE'}" for r in rules) + (" ELSE 'UNCERTAIN' END" if k == 1 else " ELSE 0.2::DOUBLE END")
+    return f"WITH t AS ({base}), k AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) AS k FROM t) SELECT event_id, a AS name_a, b AS name_b, {case(1)} AS decision, {case(2)} AS confidence FROM k"
 
 
-@query("alias_decisions")
+@query("alias_decisions", _alias_sql())
 def alias_decisions(spark, d):
     t = table(spark, d, "events").select("event_id", _pick(_A, "event_id").alias("name_a"), _pick(_B, "event_id").alias("name_b"))
     decision, confidence = R.alias_decision("name_a", "name_b")
