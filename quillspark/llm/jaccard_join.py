@@ -5,18 +5,21 @@ A document's set holds the distinct k-word shingles of its whole text, A-Z lower
 linked with nothing.  Two documents link when 100 * |A & B| >= percent * |A | B|.  Shingles are 64-bit hashes.
 
 1. Sets that are equal are one class, known by a 64-bit hash of the set; its members are linked.
-2. Classes that can link share one of their first |A| - ceil(t |A|) + 1 shingles in any global order.  The order
-   puts frequent shingles last; frequencies are counted over all documents in a sketch of fixed size (SKETCH
-   counters), and any error there costs time, not results.  These prefix shingles are dealt by hash, sorted and
-   streamed once: a shingle of one class alone is dropped, the others are cells.
-3. Homes: each class goes, once, to the class that leads most of its cells.  There a signature tree is built:
-   leaves hold a bitmap of the set, its size and its count of shingles hidden by shared bits; a node holds the OR of
-   its children's bitmaps and the ranges of the rest.  A dual traversal from (root, root) drops a pair of nodes when
-   the bound on overlap is below what the smallest sizes need, or when both already are one component; the leaf
-   pairs left are verified on the whole sets, and the links found join components.
-4. Cells whose classes are of several components still may hide a link: these go through the same trees again, in
-   blocks of BLOCK classes and pairs of blocks, until every pair is pruned, verified or connected.  Before that,
-   homes are chosen anew among other components (ROUNDS times), so that clusters split by chance meet.
+2. Classes A and B that link share at least min(l(A), l(B)) of their first |A| - ceil(t |A|) + l(A) shingles in any
+   global order, l being SHARED percent of the size.  The order puts frequent shingles last; frequencies are counted
+   over all documents in a sketch of fixed size, and any error there costs time, not results.  These prefix shingles
+   are dealt by hash, sorted and streamed once: a shingle of one class alone is dropped, the others are cells.  A class
+   in fewer cells than its smallest partner would share with it is dropped, then cells left with one class, and again.
+3. Homes: each class goes, once, to the class that leads most of its cells (a home of over BLOCK classes has parts,
+   the leader in each).  There a signature tree is built: leaves hold a bitmap of the set, its size and its count of
+   shingles hidden by shared bits; a node holds the OR of its children's bitmaps and the ranges of the rest.  A dual
+   traversal from (root, root) drops a pair of nodes when the bound on overlap is below what the smallest sizes need,
+   or when both already are one component; the leaf pairs left are verified on the whole sets, and the links found join
+   components.
+4. Cells whose classes are of several components may hide a link yet.  Classes are pruned as in 2, counting such cells
+   alone; of its c cells a class is sent to the first c - need + 1 in order of their hash, so a pair, which shares
+   `need`, meets in one.  Bitmaps of SIGN_BITS bits a shingle go to these cells (of over BLOCK classes: to its pairs of
+   blocks), trees are traversed there too, and the pairs that they leave, once each, are verified on whole sets.
 
 Nothing is capped or sampled; a large cell becomes more blocks.  Links that are found inside a component already
 connected are not looked for: the result is the components.  The empty table gives an empty result; repeated rows
@@ -30,18 +33,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkernel as tk
-from quillspark.llm.common import NO_ID, Cuts, components, partitions
+from quillspark.llm.common import NO_ID, Cuts, components, lookup_join, partitions
 
 U = np.uint64
 #: Counters of the frequency sketch (4 bytes each): the bound of what is sent to the driver and broadcast.
 SKETCH_BITS = 18
-#: Bits of a leaf's bitmap.
-BITS = 1024
-BLOCK, ROUNDS, FANOUT = 1024, 2, 8
+#: Bits of a leaf's bitmap for each shingle of the largest set of a group, and at most in all.
+BITS_EACH, MOST_BITS = 8, 1 << 18
+BLOCK, FANOUT, SHARED, PRUNES, SIGN_BITS = 1024, 8, 5, 2, 4
+#: Rows (of a few longs) up to which classes and their places are broadcast to the sets; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +107,20 @@ def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
 
-def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
+def prefix_lengths(sizes: np.ndarray, percent: int, shared: int) -> np.ndarray:
+    return np.where(sizes > 0, sizes - -(-percent * sizes // 100) + np.maximum(sizes * shared // 100, 1), 0)
+
+
+def least_shared(n: str, percent: int, shared: int) -> Column:
+    """Cells that a class shares with its smallest partner, of ceil(percent * n / 100) shingles, at least."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(F.col(n) * percent / 100) * shared / 100))
+
+
+def first_tokens(h: np.ndarray, sizes: np.ndarray, want: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first `want` shingles of each set in the global order."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((h, rank[(h >> U(64 - SKETCH_BITS)).astype(np.int64)], doc))
+    return h[by[tk.spread(np.cumsum(sizes) - sizes, want)]].view(np.int64)
 
 
 def _prefixes(k: int, percent: int, order) -> Callable:
@@ -113,20 +130,15 @@ def _prefixes(k: int, percent: int, order) -> Callable:
             sid = set_hash(h, sizes)
             _, first = np.unique(sid, return_index=True)
             want = np.zeros(len(sizes), np.int64)
-            want[first] = prefix_lengths(sizes, percent)[first]
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            how = rank[(h >> U(64 - SKETCH_BITS)).astype(np.int64)]
-            by = np.lexsort((h, how, doc))
-            start = np.cumsum(sizes) - sizes
-            at = tk.spread(start, want)
-            token = h[by[at]].view(np.int64)
+            want[first] = prefix_lengths(sizes, percent, SHARED)[first]
+            token = first_tokens(h, sizes, want, rank)
             yield pa.record_batch([pa.array(token), pa.array(np.repeat(sid, want))], names=["token", "sid"])
 
     return run
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, sid, ...): those of tokens that two classes share, with the token's first class."""
+    """Rows sorted by (token, sid, ...): those of tokens that two classes share."""
     token, first, shown = None, None, False
     last = None
     for batch in batches:
@@ -153,11 +165,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carried:
             many[0] = True  # the carried class and one more
         emit = many[run]
-        tt, ss, ll = t[emit], s[emit], leads[run[emit]]
+        tt, ss = t[emit], s[emit]
         if carried and not shown and size[0]:
-            tt, ss, ll = np.concatenate([[token], tt]), np.concatenate([[first], ss]), np.concatenate([[first], ll])
+            tt, ss = np.concatenate([[token], tt]), np.concatenate([[first], ss])
         if len(tt):
-            yield pa.record_batch([pa.array(tt.astype(np.int64)), pa.array(ss.astype(np.int64)), pa.array(ll.astype(np.int64))], names=["token", "sid", "lead"])
+            yield pa.record_batch([pa.array(tt.astype(np.int64)), pa.array(ss.astype(np.int64))], names=["token", "sid"])
         open_run = run[-1]
         shown = bool(many[open_run])
         token, first = t[-1], leads[open_run]
@@ -178,78 +190,47 @@ class Tree:
 
 def bitmaps(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(v) for v in values], np.int64)
-    out = np.zeros((len(values), BITS), bool)
-    flat = np.concatenate(values) if len(values) else np.empty(0, U)
-    out[np.repeat(np.arange(len(values)), sizes), (flat % U(BITS)).astype(np.int64)] = True
-    lost = sizes - out.sum(axis=1)
-    return np.packbits(out, axis=1).view(U), sizes, lost
+    width = 64
+    while width < min(MOST_BITS, BITS_EACH * int(sizes.max(initial=1))):
+        width *= 2
+    out = np.zeros((len(values), width // 64), U)
+    for i, v in enumerate(values):
+        bit = np.zeros(width, bool)
+        bit[(v & U(width - 1)).astype(np.int64)] = True
+        out[i] = np.packbits(bit).view(U)
+    return out, sizes, sizes - np.bitwise_count(out).sum(axis=1).astype(np.int64)
 
 
-def links(values: list[np.ndarray], comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Positions (i, j) of linked sets that join different components: with comp, all links' connectivity.
+def traverse(bits: np.ndarray, sizes: np.ndarray, lost: np.ndarray, comp: Callable, percent: int, side: np.ndarray | None = None):
+    """Dual traversal of a signature tree: yields arrays of the leaf pairs that bounds leave.
 
-    side: 0 and 1 of two blocks; pairs within one block are left to another call.
+    comp() tells the components of the leaves at the time it is asked; side: pairs of one side are left out.
     """
-    n = len(values)
-    if n < 2:
-        return []
-    bits, sizes, lost = bitmaps(values)
-    key = np.array([v[0] if len(v) else 0 for v in values], U)
-    order = np.lexsort((key, sizes))
-    parent = {}
-
-    def root(x):
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    found = []
-
-    def verify(i, j):
-        a, b = values[i], values[j]
-        ra, rb = root(int(comp[i])), root(int(comp[j]))
-        if ra == rb or side is not None and side[i] == side[j]:
-            return
-        both = len(a) + len(b) - len(np.union1d(a, b))
-        if both and 100 * both >= percent * (len(a) + len(b) - both):
-            parent[max(ra, rb)] = min(ra, rb)
-            found.append((i, j))
-
-    # the first of the group against all: a cluster becomes one component at a cost in proportion to its size
-    if side is None:
-        need = -(-percent * (sizes + sizes[0]) // (100 + percent))
-        bound = np.minimum(np.bitwise_count(bits & bits[0]).sum(axis=1) + np.minimum(lost, lost[0]), np.minimum(sizes, sizes[0]))
-        for j in np.flatnonzero(bound >= need).tolist():
-            if j:
-                verify(0, j)
-    order = order[np.lexsort((key[order], [root(int(c)) for c in comp[order]]))]  # like with like: same component together
+    order = np.lexsort((sizes, comp()))  # nodes of one component can be dropped whole
     tree = Tree(bits[order], sizes[order], lost[order])
     sides = None if side is None else side[order]
-    top = len(tree.levels) - 1
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for level in range(top, -1, -1):
-        at = np.array([root(int(c)) for c in comp[order]])
-        low, high = at, at
+    for level in range(len(tree.levels) - 1, -1, -1):
+        low = high = comp()[order]
         for _ in range(level):
             cut = np.arange(0, len(low), FANOUT)
             low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
         kept_a, kept_b = [], []
-        for i in range(0, len(a), 1 << 14):
-            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+        bm, lo, hi, ls = tree.levels[level]
+        for i in range(0, len(a), 1 << 12):
+            x, y = a[i : i + (1 << 12)], b[i : i + (1 << 12)]
             one = (low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y])
-            x, y = x[~one], y[~one]
-            bm, lo, hi, ls = tree.levels[level]
+            fits = ~one & (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
+            x, y = x[fits], y[fits]
             need = -(-percent * (lo[x] + lo[y]) // (100 + percent))
-            fits = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
-            x, y, need = x[fits], y[fits], need[fits]
             bound = np.bitwise_count(bm[x] & bm[y]).sum(axis=1) + np.minimum(ls[x], ls[y])
             ok = np.minimum(bound, np.minimum(hi[x], hi[y])) >= np.maximum(need, 1)
             x, y = x[ok], y[ok]
             if level:
                 m = len(tree.levels[level - 1][1])
-                cx, cy = np.repeat(x * FANOUT, FANOUT * FANOUT), np.repeat(y * FANOUT, FANOUT * FANOUT)
-                cx, cy = cx + np.tile(np.repeat(np.arange(FANOUT), FANOUT), len(x)), cy + np.tile(np.arange(FANOUT), len(x) * FANOUT)
+                each = FANOUT * FANOUT
+                cx = np.repeat(x * FANOUT, each) + np.tile(np.repeat(np.arange(FANOUT), FANOUT), len(x))
+                cy = np.repeat(y * FANOUT, each) + np.tile(np.arange(FANOUT), len(x) * FANOUT)
                 good = (cx < m) & (cy < m) & (cx <= cy)  # x <= y: each pair of nodes once
                 kept_a.append(cx[good])
                 kept_b.append(cy[good])
@@ -257,27 +238,180 @@ def links(values: list[np.ndarray], comp: np.ndarray, percent: int, side: np.nda
                 apart = x < y
                 if sides is not None:
                     apart &= sides[x] != sides[y]
-                for p, q in zip(order[x[apart]].tolist(), order[y[apart]].tolist(), strict=True):
-                    verify(p, q)
-        if not level:
-            break
-        a, b = np.concatenate(kept_a) if kept_a else a[:0], np.concatenate(kept_b) if kept_b else b[:0]
+                yield order[x[apart]], order[y[apart]]
+        if level:
+            a, b = np.concatenate(kept_a) if kept_a else a[:0], np.concatenate(kept_b) if kept_b else b[:0]
+
+
+def links(values: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions (i, j) of linked sets that join different components: with comp, all links' connectivity."""
+    n = len(values)
+    if n < 2:
+        return []
+    bits, sizes, lost = bitmaps(values)
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    found = []
+
+    def verify(i, j):
+        ra, rb = root(int(comp[i])), root(int(comp[j]))
+        if ra != rb:
+            both = overlap(values[i], values[j])
+            if both and 100 * both >= percent * (len(values[i]) + len(values[j]) - both):
+                parent[max(ra, rb)] = min(ra, rb)
+                found.append((i, j))
+
+    # the first of the group against all: a cluster becomes one component at a cost in proportion to its size
+    need = -(-percent * (sizes + sizes[0]) // (100 + percent))
+    bound = np.minimum(np.bitwise_count(bits & bits[0]).sum(axis=1) + np.minimum(lost, lost[0]), np.minimum(sizes, sizes[0]))
+    for j in np.flatnonzero(bound >= need).tolist():
+        if j:
+            verify(0, j)
+    for i, j in traverse(bits, sizes, lost, lambda: np.array([root(int(c)) for c in comp]), percent):
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            verify(p, q)
     return found
 
 
-def _tree_cell(percent: int) -> Callable:
+def _tree_home(percent: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["sid", "side"]).sort_values(["first", "side", "sid"], ascending=[False, True, True], ignore_index=True)
-        values = [np.frombuffer(x, "<u8") for x in pdf["hashes"]]
-        side = pdf["side"].to_numpy()
-        got = links(values, pdf["comp"].to_numpy(), percent, side if side.any() else None)
+        pdf = pdf.sort_values(["first", "sid"], ascending=[False, True]).drop_duplicates("sid").reset_index(drop=True)
         sid = pdf["sid"].to_numpy()
+        got = links([np.frombuffer(x, "<u8") for x in pdf["hashes"]], sid, percent)
         i, j = (np.array(x, np.int64) for x in zip(*got, strict=True)) if got else (np.empty(0, np.int64),) * 2
         return pd.DataFrame({"a": sid[i], "b": sid[j]})
 
     return run
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def _verify(percent: int) -> Callable:
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            yes = []
+            for u, v in zip(x, y, strict=True):
+                u, v = np.frombuffer(u.as_buffer(), "<u8"), np.frombuffer(v.as_buffer(), "<u8")
+                both = overlap(u, v)
+                yes.append(both > 0 and 100 * both >= percent * (len(u) + len(v) - both))
+            yield pa.record_batch([batch.column(0).filter(pa.array(yes, pa.bool_())), batch.column(1).filter(pa.array(yes, pa.bool_()))], names=["a", "b"])
+
+    return run
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of n: SIGN_BITS a shingle at least, in powers of two from 64."""
+    return max(64, 1 << (SIGN_BITS * n - 1).bit_length())
+
+
+def _signatures(batches):
+    for batch in batches:
+        out, sizes = [], []
+        for h in batch.column(1):
+            v = np.frombuffer(h.as_buffer(), "<u8")
+            bit = np.zeros(width_of(len(v)), bool)
+            bit[(v & U(len(bit) - 1)).astype(np.int64)] = True
+            out.append(np.packbits(bit, bitorder="little").tobytes())
+            sizes.append(len(v))
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["sid", "n", "bits"])
+
+
+def _small_pairs(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int):
+    """Pairs of rows of one cell (rows are in order of cells, cells are small) that the bounds leave."""
+    width = np.array([8 * len(b) for b in bits])
+    full = {w: np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(width == w).tolist()), "<u8").reshape(-1, w // 64) for w in np.unique(width).tolist()}
+    row = np.zeros(len(n), np.int64)
+    for w in full:
+        row[width == w] = np.arange((width == w).sum())
+    half = {w: m[:, : w // 128] | m[:, w // 128 :] for w, m in full.items() if w > 64}
+    paired = np.zeros(len(n), bool)
+    paired[np.flatnonzero(side)] = True
+    two = np.isin(cell, cell[paired])
+    most = int(np.bincount(np.unique(cell, return_inverse=True)[1]).max(initial=0))
+    for d in range(1, most):
+        i = np.flatnonzero(cell[:-d] == cell[d:])
+        j = i + d
+        ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i]) & (~two[i] | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        swap = width[i] > width[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        for w in np.unique(width[i]).tolist():
+            for v in (w, 2 * w):
+                at = np.flatnonzero((width[i] == w) & (width[j] == v))
+                for k in range(0, len(at), 4096):
+                    x, y = i[at[k : k + 4096]], j[at[k : k + 4096]]
+                    a, b = full[w][row[x]], (full if v == w else half)[v][row[y]]
+                    lost = np.minimum(n[x] - np.bitwise_count(a).sum(axis=1), n[y] - np.bitwise_count(b).sum(axis=1))
+                    bound = np.minimum(np.bitwise_count(a & b).sum(axis=1) + lost, np.minimum(n[x], n[y]))
+                    ok = bound >= np.maximum(-(-percent * (n[x] + n[y]) // (100 + percent)), 1)
+                    yield x[ok], y[ok]
+
+
+def _large_pairs(side, comp, n, bits, percent):
+    """The same of one large cell, by signature trees: a tree for each width, larger bitmaps folded to it."""
+    width = np.array([8 * len(b) for b in bits])
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        m = np.stack([np.frombuffer(bits[i], "<u8") if width[i] == w else np.bitwise_or.reduce(np.frombuffer(bits[i], "<u8").reshape(2, -1)) for i in at.tolist()])
+        lost = n[at] - np.bitwise_count(m).sum(axis=1).astype(np.int64)
+        for i, j in traverse(m, n[at], lost, lambda at=at: comp[at], percent, side[at] if side.any() else None):
+            keep = (width[at[i]] == w) | (width[at[j]] == w)  # both larger: their own tree has them
+            yield at[i[keep]], at[j[keep]]
+
+
+def _cell_pairs(percent: int, small: int = 64) -> Callable:
+    """Pairs that cells leave; rows come sorted by cell, and a cell is at most two blocks."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            yield from pairs(t, last=False)
+            held = rest[0]
+        if held is not None:
+            yield from pairs(held, last=True)
+
+    rest: list = [None]
+
+    def pairs(t, last):
+        key = np.stack([t.column(k).to_numpy() for k in range(3)])
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        start = np.flatnonzero(new)
+        end = t.num_rows if last else int(start[-1]) if len(start) else 0
+        rest[0] = t.slice(end).combine_chunks()
+        if not end:
+            return
+        cell = np.cumsum(new)[:end]
+        side, sid, comp, n = (t.column(k).to_numpy()[:end] for k in (3, 4, 5, 6))
+        bits = t.column(7).slice(0, end).to_pylist()
+        count = np.bincount(cell)[cell]
+        some = np.flatnonzero(count <= small)
+        out = [(some[i], some[j]) for i, j in _small_pairs(cell[some], side[some], comp[some], n[some], [bits[i] for i in some.tolist()], percent)] if len(some) else []
+        for c in np.unique(cell[count > small]).tolist():
+            at = np.flatnonzero(cell == c)
+            out += [(at[i], at[j]) for i, j in _large_pairs(side[at], comp[at], n[at], [bits[i] for i in at.tolist()], percent)]
+        if out:
+            x, y = sid[np.concatenate([i for i, _ in out])], sid[np.concatenate([j for _, j in out])]
+            got = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.record_batch([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+    return run
+
+
 def _set_rows(k: int) -> Callable:
     def run(batches):
         for _, h, sizes in _each(batches, k):
@@ -292,6 +426,11 @@ def _set_rows(k: int) -> Callable:
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast up to BROADCAST_ROWS rows, else left to a join by shuffle.  Counts: give it a table that is cut."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
@@ -305,50 +444,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = spark.sparkContext.broadcast(rank)
 
     dealt = texts.mapInArrow(_prefixes(k, percent, order), "token long, sid long").repartition(parts, "token").sortWithinPartitions("token", "sid")
-    cells = cuts.cut(dealt.mapInArrow(_cells, "token long, sid long, lead long"))
+    cells = cuts.cut(dealt.mapInArrow(_cells, "token long, sid long"))
+    needs = rows.groupBy("sid").agg(F.first("n").alias("n")).select("sid", least_shared("n", percent, SHARED).alias("need"))
+    by_token = Window.partitionBy("token")
+    for _ in range(PRUNES):
+        busy = cuts.cut(cells.groupBy("sid").agg(F.count(F.lit(1)).alias("c")).join(needs, "sid").where("c >= need").select("sid", "c", "need"))
+        left = cells.select("token", "sid").join(_few(busy), "sid")
+        # a cell of one class is none
+        left = left.withColumn("lead", F.min("sid").over(by_token)).withColumn("many", F.max("sid").over(by_token) > F.col("lead")).where("many").drop("many")
+        new = cuts.cut(left)
+        cuts.drop(cells)
+        cells = new
+    # one document of each of these classes, found before its text is read: few ids go to the texts, many meet them by shuffle
     live = cells.select("sid").distinct()
-    # one document of each live class, found before its text is read: only ids travel, then those texts
-    of_class = rows.join(live, "sid", "left_semi").groupBy("sid").agg(F.min("_id").alias("_id")).select("_id").distinct()
-    sets = texts.join(of_class, "_id", "left_semi").mapInArrow(_set_rows(k), "sid long, hashes binary")
-    sets = cuts.cut(sets.join(live, "sid", "left_semi").dropDuplicates(["sid"]))
-    comp = live.withColumn("comp", F.col("sid"))  # of each live class; classes of no cell are alone
-    edges = None
-
-    def through_trees(placed: DataFrame) -> DataFrame:
-        """placed: (g1, g2, g3, side, sid, comp, first): the groups' links that join components."""
-        return placed.join(sets, "sid").groupBy("g1", "g2", "g3").applyInPandas(_tree_cell(percent), "a long, b long")
-
-    for turn in range(ROUNDS + 1):
-        named = cells.join(comp, "sid") if turn else cells.withColumn("comp", F.col("sid"))
-        if turn:
-            mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("sid", F.struct("comp", "sid")).alias("lead")).where("lo < hi").select("token", "lead", "lo")
-            named = cuts.cut(named.drop("lead").join(mixed, "token"))
-            if named.isEmpty():
-                break
-        if turn < ROUNDS:
-            # the home of a class: the leader of most of its cells; a part of it where it is large
-            votes = named if not turn else named.where("comp <> lo")
-            home = votes.groupBy("sid", "comp", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("sid", "comp").agg(F.max_by("lead", F.struct("n", (-F.col("lead")).alias("l"))).alias("home"))
-            home = home.withColumn("part", F.lit(0))
-            home = cuts.cut(home)
-            large = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-            placed = home.join(large, "home").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-            member = placed.select(F.col("home").alias("g1"), F.col("part").alias("g2"), F.lit(0).alias("g3"), F.lit(0).alias("side"), "sid", "comp", F.lit(False).alias("first"))
-            heads = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("home").alias("g1"), F.col("part").alias("g2"), F.lit(0).alias("g3"), F.lit(0).alias("side"), F.col("home").alias("sid"))
-            heads = heads.join(comp, "sid").select("g1", "g2", "g3", "side", "sid", "comp", F.lit(True).alias("first"))
-            got = through_trees(heads.unionByName(member))
-        else:
-            # every cell of several components: blocks of it, and pairs of blocks
-            large = named.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-            placed = named.join(large, "token").withColumn("b", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-            pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            got = through_trees(pairs.select(F.col("token").alias("g1"), F.least("b", "o").alias("g2"), F.greatest("b", "o").alias("g3"), (F.col("b") > F.col("o")).cast("int").alias("side"), "sid", "comp", F.lit(False).alias("first")))
-        new = cuts.cut(got)
-        edges = new if edges is None else edges.unionByName(new)
-        if turn and new.isEmpty() and turn == ROUNDS:
-            break
-        found = components(cuts, edges)
-        comp = cuts.cut(live.join(found, live.sid == found.id, "left").select("sid", F.coalesce("component", "sid").alias("comp")))
+    of_class = cuts.cut(rows.join(live, "sid", "left_semi").groupBy("sid").agg(F.min("_id").alias("_id")).select("_id").distinct())
+    sets = cuts.cut(texts.join(_few(of_class), "_id", "left_semi").mapInArrow(_set_rows(k), "sid long, hashes binary"))
+
+    best = F.max_by("lead", F.struct("n", (-F.col("lead")).alias("l")))
+    home = cuts.cut(cells.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("sid").agg(best.alias("home")))
+    sizes = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = home.join(sizes, "home").select("home", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("part"), "sid", (F.col("sid") == F.col("home")).alias("first"))
+    heads = sizes.select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("home").alias("sid"), F.lit(True).alias("first"))
+    placed = cuts.cut(members.unionByName(heads))
+    edges = cuts.cut(sets.join(_few(placed), "sid").groupBy("home", "part").applyInPandas(_tree_home(percent), "a long, b long"))
+    comp = components(cuts, edges).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
+
+    named = cells.select("token", "sid", "need").join(_few(comp), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    several = F.max("comp").over(by_token) > F.min("comp").over(by_token)
+    for _ in range(PRUNES):
+        named = cuts.cut(named.withColumn("several", several).where("several").drop("several"))
+        busy = cuts.cut(named.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("least")).where("c >= least").select("sid", "c"))
+        named = named.drop("c").join(_few(busy), "sid")
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("token"))
+    named = named.withColumn("place", place).where(F.col("place") <= F.col("c") - F.col("need") + 1)
+    named = cuts.cut(named.withColumn("several", several).where("several").select("token", "sid", "comp"))
+    if not named.isEmpty():
+        left = cuts.cut(named.select("sid").distinct())
+        signs = cuts.cut(sets.join(_few(left), "sid", "left_semi").mapInArrow(_signatures, "sid long, n long, bits binary"))
+        blocks = named.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        b, o = F.col("part"), F.col("o")
+        in_blocks = named.join(_few(cuts.cut(blocks)), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        in_blocks = in_blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least(b, o).alias("g2"), F.greatest(b, o).alias("g3"), (b > o).cast("int").alias("side"), "sid", "comp")
+        group = ["token", "g2", "g3"]
+        dealt = in_blocks.join(_few(signs), "sid").select(*group, "side", "sid", "comp", "n", "bits").repartition(parts, *group).sortWithinPartitions(*group)
+        pairs = cuts.cut(dealt.mapInArrow(_cell_pairs(percent), "a long, b long").distinct())
+        one, two = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+        more = cuts.cut(two.join(one.join(_few(pairs), "a"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+        if not more.isEmpty():
+            comp = components(cuts, edges.unionByName(more)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
     # classes to documents: smallest id of each component
     low = rows.where("n > 0").groupBy("sid").agg(F.min("_id").alias("low"))
     low = low.join(comp, "sid", "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp"))
@@ -356,8 +499,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_class = cuts.cut(low.join(best, "comp").select("sid", "component"))
     nul = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     sized = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("size")).join(by_class, "sid", "left")
-    from quillspark.llm.common import lookup_join
-
     out = lookup_join(rows, sized, "sid", "size")
     out = out.withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")))
     return out.select(nul("_id").alias(id_col), F.col("n").alias("n_shingles"), nul("component").alias("component_id"))
