@@ -46,9 +46,9 @@ def filter_active(spark, d):
     return table(spark, d, "events").where("user_id = 7 AND event_type = 'view'").select("event_id", "ts", "value")
 
 
-@query("search_contains", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'tionable')")
+@query("search_contains", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'bleing')")
 def search_contains(spark, d):
-    return table(spark, d, "documents").where(rel.contains_ci("text", "TionAble")).select("doc_id", "source")
+    return table(spark, d, "documents").where(rel.contains_ci("text", "BleIng")).select("doc_id", "source")
 
 
 @query("relation_pair_lookup", with_views("relations") + "SELECT * FROM relations WHERE (source = 'S3' AND target = 'P4') OR (source = 'P4' AND target = 'S3')")
@@ -282,9 +282,9 @@ def dedup_first(spark, d):
     return rel.first_by(T.relations(spark, d).select("source", "target", "chapter_id", "seq"), ["source", "target"], [F.col("chapter_id"), F.col("seq")])
 
 
-@query("search_union", "(SELECT 'chunk' AS kind, doc_id AS id, left(text, 200) AS preview, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'ableing') ORDER BY doc_id LIMIT 20) UNION ALL (SELECT 'entity', p_partkey, p_name, 0.0::DOUBLE FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_partkey LIMIT 10)")
+@query("search_union", "(SELECT 'chunk' AS kind, doc_id AS id, left(text, 200) AS preview, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'bleing') ORDER BY doc_id LIMIT 20) UNION ALL (SELECT 'entity', p_partkey, p_name, 0.0::DOUBLE FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_partkey LIMIT 10)")
 def search_union(spark, d):
-    docs = table(spark, d, "documents").where(rel.contains_ci("text", "ableing")).select(F.lit("chunk").alias("kind"), F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("preview"), F.lit(0.0).alias("score"))
+    docs = table(spark, d, "documents").where(rel.contains_ci("text", "bleing")).select(F.lit("chunk").alias("kind"), F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("preview"), F.lit(0.0).alias("score"))
     parts = table(spark, d, "part").where(rel.contains_ci("p_name", "a")).select(F.lit("entity").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("preview"), F.lit(0.0).alias("score"))
     return rel.page(docs, [F.col("id")], 20).unionByName(rel.page(parts, [F.col("id")], 10))
 
