@@ -24,13 +24,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkernel as tk
 from quillspark.llm.common import NO_ID, Cuts, lookup_join, partitions
 
 ANCHOR, MAX_RUNS, BATCHES = 16, 1, 2
+#: Ids of documents with something to look at, up to which they are broadcast.
+BROADCAST_IDS = 500_000
 _CHECK = 0xA0761D6478BD642F
 
 
@@ -162,18 +164,22 @@ class WindowIndex:
     def __init__(self, cuts: Cuts):
         self.cuts, self.runs = cuts, []
 
-    def match(self, firsts: DataFrame) -> DataFrame:
-        """firsts (h1, h2, first) merge-joined with each run: known is the smallest id of history that has the window."""
-        out = firsts.withColumn("known", F.lit(None).cast("long"))
+    def match(self, batch: DataFrame) -> DataFrame:
+        """batch (h1, h2, _id, ...) with first: the smallest id that has the window, in the batch or in any run.
+
+        The batch is dealt by h1 once: its own smallest ids and the merge-join with each run need no other shuffle.
+        """
+        out = batch.repartition(partitions(self.cuts.spark), "h1").withColumn("first", F.min("_id").over(Window.partitionBy("h1", "h2")))
         for run in self.runs:
-            old = run.select("h1", F.col("h2").alias("_h2"), F.col("first").alias("_first"))
-            hit = F.when(F.col("h2") == F.col("_h2"), F.col("_first"))  # verified by the check hash
-            out = out.hint("merge").join(old, "h1", "left").withColumn("known", F.least("known", hit)).drop("_h2", "_first")
-        if self.runs:  # two windows of one hash and two check hashes are two rows of a run
-            out = out.groupBy("h1", "h2", "first").agg(F.min("known").alias("known"))
+            old = run.select("h1", F.struct("h2", F.col("first").alias("id")).alias("_old"))
+            out = out.hint("merge").join(old, "h1", "left")
+            # verified by the check hash; a run has a row for each check hash of a hash
+            hit = F.when(F.col("h2") == F.col("_old.h2"), F.col("_old.id"))
+            out = out.withColumn("first", F.least("first", hit)).drop("_old")
         return out
 
     def append(self, firsts: DataFrame) -> None:
+        """firsts (h1, h2, first), one row a window, as a run of its own."""
         self.runs.append(self.cuts.cut(firsts.repartition(partitions(self.cuts.spark), "h1").sortWithinPartitions("h1", "h2")))
 
     def compact(self) -> None:
@@ -186,6 +192,18 @@ class WindowIndex:
             self.cuts.drop(*old)
 
 
+def _marked(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """texts with their marks, and the texts without any; marks is a table that is cut.
+
+    Of up to BROADCAST_IDS ids, the ids are sent to the texts, and only texts with marks are shuffled; with more, all
+    texts are (those without marks then stand in the first table, marks null).
+    """
+    ids = marks.select("_id")
+    if ids.count() > BROADCAST_IDS:
+        return texts.join(marks, "_id", "left"), None
+    return texts.join(F.broadcast(ids), "_id", "left_semi").join(marks, "_id"), texts.join(F.broadcast(ids), "_id", "left_anti")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = BATCHES, texts_too: bool = False) -> DataFrame:
     """One row a document: id, n_words, n_removed and kept_sha256, or the kept text itself with texts_too."""
     cuts, k = Cuts(docs.sparkSession), min(ANCHOR, max(1, window // 3))
@@ -198,28 +216,34 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = lookup_join(keyed, copied.select(F.concat_ws(":", "s1", "s2").alias("s"), "rep", "n"), "s", "n")
     gone = cuts.cut(known.where((F.col("n_words") >= window) & (F.col("_id") > F.col("rep"))).select("_id", "s1").distinct())
     spots = info.join(gone, ["_id", "s1"], "left_anti").select("_id", "s1", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("_id", "s1", F.col("a.h").alias("h"), F.col("a.pos").alias("pos"))
-    live = spots.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h")
-    around = spots.join(live, "h", "left_semi").groupBy("_id", "s1").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    spread = F.count(F.lit(1)).alias("n")
+    live = cuts.cut(spots.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), spread).where("lo < hi").select("h", "n"))
+    around = lookup_join(spots, live, "h", "n").where("n IS NOT NULL").groupBy("_id", "s1").agg(F.flatten(F.collect_list("pos")).alias("pos"))
     marks = lambda df: df.groupBy("_id").agg(F.collect_list(F.struct("s1", "gone", "pos")).alias("marks"))
-    found = texts.join(marks(around.withColumn("gone", F.lit(False))), "_id").select("_id", "_t", "marks")
+    around = cuts.cut(marks(around.withColumn("gone", F.lit(False))))
+    found = _marked(texts, around)[0].select("_id", "_t", "marks")
     found = cuts.cut(found.mapInArrow(_windows(window, k), "h1 long, h2 long, _id long, s1 long, pos int"))
     cuts.drop(info)
 
     index, covered = WindowIndex(cuts), None
     edges = found.agg(F.percentile_approx("_id", [i / batches for i in range(1, batches)] or [1.0], 1000).alias("q")).first()["q"] or []
-    edges = [-(2**63), *sorted(set(edges))] if batches > 1 else [-(2**63)]
-    for i, low in enumerate(edges):
-        batch = found.where((F.col("_id") > low) & (F.col("_id") <= edges[i + 1])) if i + 1 < len(edges) else found.where(F.col("_id") > low) if i else found
-        firsts = batch.groupBy("h1", "h2").agg(F.min("_id").alias("first"))
-        now = index.match(firsts)
-        hit = batch.join(now, ["h1", "h2"]).where(F.col("_id") > F.least("first", "known")).select("_id", "s1", "pos")
-        hit = cuts.cut(hit)
+    edges = sorted(set(edges)) if batches > 1 else []
+    edges = [None, *edges, None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        batch = found if low is None else found.where(F.col("_id") > low)
+        batch = batch if high is None else batch.where(F.col("_id") <= high)
+        now = index.match(batch)
+        hit = cuts.cut(now.where(F.col("_id") > F.col("first")).select("_id", "s1", "pos"))
         covered = hit if covered is None else covered.unionByName(hit)
-        index.append(firsts)
-        index.compact()
+        if high is not None:
+            index.append(batch.groupBy("h1", "h2").agg(F.min("_id").alias("first")))
+            index.compact()
     where = covered.groupBy("_id", "s1").agg(F.collect_list("pos").alias("pos")).withColumn("gone", F.lit(False))
     where = where.unionByName(gone.withColumn("gone", F.lit(True)).withColumn("pos", F.array().cast("array<int>")))
-    out = texts.join(marks(where), "_id", "left").select("_id", "_t", "marks")
+    some, others = _marked(texts, cuts.cut(marks(where)))
+    out = some.select("_id", "_t", "marks")
+    if others is not None:
+        out = out.unionByName(others.select("_id", "_t", F.lit(None).cast(some.schema["marks"].dataType).alias("marks")))
     out = out.mapInArrow(_removal(window, not texts_too), f"_id long, n_words long, n_removed long, kept {'binary' if texts_too else 'string'}")
     first = F.when(F.col("_id") != NO_ID, F.col("_id")).alias(id_col)
     return out.select(first, "n_words", "n_removed", F.col("kept").cast("string").alias(text_col if texts_too else "kept_sha256"))
