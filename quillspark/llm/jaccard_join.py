@@ -44,9 +44,11 @@ U = np.uint64
 SKETCH_BITS = 18
 #: Bits of a leaf's bitmap for each shingle of the largest set of a group, and at most in all.
 BITS_EACH, MOST_BITS = 8, 1 << 18
-BLOCK, FANOUT, SHARED, PRUNES, SIGN_BITS = 1024, 8, 5, 2, 4
+BLOCK, FANOUT, SHARED, PRUNES, SIGN_BITS = 1024, 8, 5, 2, 3
 #: Rows (of a few longs) up to which classes and their places are broadcast to the sets; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of bitmaps up to which they are broadcast to the cells; beyond, each row takes its own along.
+BROADCAST_BITS = 32 << 20
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,8 +373,11 @@ def _large_pairs(side, comp, n, bits, percent):
             yield at[i[keep]], at[j[keep]]
 
 
-def _cell_pairs(percent: int, small: int = 64) -> Callable:
-    """Pairs that cells leave; rows come sorted by cell, and a cell is at most two blocks."""
+def _cell_pairs(percent: int, signs=None, small: int = 64) -> Callable:
+    """Pairs that cells leave; rows come sorted by cell, and a cell is at most two blocks.
+
+    signs: broadcast (sorted sids, sizes, bitmaps), unless rows bring theirs.
+    """
 
     def run(batches):
         held = None
@@ -396,8 +401,13 @@ def _cell_pairs(percent: int, small: int = 64) -> Callable:
         if not end:
             return
         cell = np.cumsum(new)[:end]
-        side, sid, comp, n = (t.column(k).to_numpy()[:end] for k in (3, 4, 5, 6))
-        bits = t.column(7).slice(0, end).to_pylist()
+        side, sid, comp = (t.column(k).to_numpy()[:end] for k in (3, 4, 5))
+        if signs is None:
+            n, bits = t.column(6).to_numpy()[:end], t.column(7).slice(0, end).to_pylist()
+        else:
+            known, sizes, maps = signs.value
+            at = np.searchsorted(known, sid)
+            n, bits = sizes[at], [maps[i] for i in at.tolist()]
         count = np.bincount(cell)[cell]
         some = np.flatnonzero(count <= small)
         out = [(some[i], some[j]) for i, j in _small_pairs(cell[some], side[some], comp[some], n[some], [bits[i] for i in some.tolist()], percent)] if len(some) else []
@@ -486,9 +496,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         in_blocks = named.join(_few(cuts.cut(blocks)), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
         in_blocks = in_blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least(b, o).alias("g2"), F.greatest(b, o).alias("g3"), (b > o).cast("int").alias("side"), "sid", "comp")
         group = ["token", "g2", "g3"]
-        dealt = in_blocks.join(_few(signs), "sid").select(*group, "side", "sid", "comp", "n", "bits").repartition(parts, *group).sortWithinPartitions(*group)
-        pairs = cuts.cut(dealt.mapInArrow(_cell_pairs(percent), "a long, b long").distinct())
+        size = signs.agg(F.sum(F.octet_length("bits") + 100).alias("b")).first()["b"] or 0
+        sent, extra = None, ["n", "bits"]
+        if size <= BROADCAST_BITS:
+            t = signs.dropDuplicates(["sid"]).orderBy("sid").toArrow()
+            sent, extra = spark.sparkContext.broadcast((t["sid"].to_numpy(), t["n"].to_numpy(), t["bits"].to_pylist())), []
+        else:
+            in_blocks = in_blocks.join(signs, "sid")
+        dealt = in_blocks.select(*group, "side", "sid", "comp", *extra).repartition(parts, *group).sortWithinPartitions(*group)
+        pairs = cuts.cut(dealt.mapInArrow(_cell_pairs(percent, sent), "a long, b long").distinct())
+        # both sets of each pair meet; sets of no pair stay where they are
+        needed = cuts.cut(pairs.select(F.col("b")).distinct())
         one, two = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+        two = two.join(_few(needed), "b", "left_semi")
         more = cuts.cut(two.join(one.join(_few(pairs), "a"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
         if not more.isEmpty():
             comp = components(cuts, edges.unionByName(more)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))

@@ -117,8 +117,11 @@ def test_jaccard_blocks(spark, monkeypatch):
     sets = {i: {tuple(w[q : q + 3]) for q in range(len(w) - 2)} for i, t, *_ in rows for w in [t.split()]}
     comp = union(list(sets), [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    got = jaccard_join.jaccard_components(docs(spark, rows), k=3, percent=85).collect()
-    assert {r[0]: r[2] for r in got} == comp
+    for most in (jaccard_join.BROADCAST_BITS, 0):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_BITS", most)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 10 * most)
+        got = jaccard_join.jaccard_components(docs(spark, rows), k=3, percent=85).collect()
+        assert {r[0]: r[2] for r in got} == comp
 
 
 def test_cell_pairs_lose_no_link():
@@ -133,7 +136,7 @@ def test_cell_pairs_lose_no_link():
             sign = next(jaccard_join._signatures([pa.record_batch([pa.array(range(30)), pa.array([v.tobytes() for v in sets], pa.binary())], names=["sid", "hashes"])]))
             zero = np.zeros(30, np.int32)
             t = pa.record_batch([pa.array(cell), pa.array(zero), pa.array(zero), pa.array(side), pa.array(np.arange(30)), pa.array(comp), sign.column(1), sign.column(2)], names=list("tghscmnb"))
-            got = {(a, b) for r in jaccard_join._cell_pairs(85, small)(iter([t.slice(0, 11), t.slice(11)])) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)}
+            got = {(a, b) for r in jaccard_join._cell_pairs(85, small=small)(iter([t.slice(0, 11), t.slice(11)])) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)}
             want = {(i, j) for i in range(30) for j in range(i + 1, 30) if cell[i] == cell[j] and comp[i] != comp[j] and 100 * (o := jaccard_join.overlap(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - o)}
             assert want <= got
 
@@ -357,3 +360,16 @@ def test_components(spark):
     got = {r.id: r.component for r in common.components(common.Cuts(spark), spark.createDataFrame(e, "a long, b long").repartition(5)).collect()}
     nodes = {x for a, b in e for x in (a, b) if a != b}
     assert got == union(nodes, [x for x in e if x[0] != x[1]])
+
+
+def test_html_of_all_pages(spark):
+    """Against the article's blocks cut out by patterns: the pages of the test tables all have this form."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    for p in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in parts]
+        assert got[p.page_id] == "\n".join(x for x in want if x)
