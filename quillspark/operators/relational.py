@@ -109,6 +109,18 @@ def name_pairs(mentions: DataFrame, group: str = "chapter_id", name: str = "name
     return d.select(group, F.col(name).alias("name_a")).join(d.select(group, F.col(name).alias("name_b")), group).where("name_a < name_b")
 
 
+def near_pairs(mentions: DataFrame, group: str = "chapter_id", name: str = "name") -> DataFrame:
+    """The pairs of name_pairs at an edit distance of at most 1, without comparing every two names.
+
+    Such names are equal once each has lost at most one letter, so they meet in an equi-join; what meets is verified.
+    """
+    n = F.col("name")
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(n), F.lit(1))), lambda i: F.concat(F.left(n, i - 1), F.substring(n, i + 1, F.char_length(n))))
+    d = mentions.select(group, F.col(name).alias("name")).distinct().select(group, "name", F.explode(F.array_distinct(F.array_append(short, n))).alias("_k"))
+    met = d.select(group, "_k", F.col("name").alias("name_a")).join(d.select(group, "_k", F.col("name").alias("name_b")), [group, "_k"])
+    return met.where("name_a < name_b").select(group, "name_a", "name_b").distinct().where(F.levenshtein("name_a", "name_b", 1) >= 0)
+
+
 def cooccurring(mentions: DataFrame, group: list[str], first: int = 10) -> DataFrame:
     """Pairs of names of one chunk: each of the first names with every later one, each unordered pair once."""
     a = mentions.where(F.col("pos") < first).select(*group, F.col("pos").alias("i"), F.col("name").alias("source"))

@@ -124,7 +124,7 @@ def patch_counts(spark, d):
 
 @query("alias_pairs", with_views("chunks", "mentions") + ", n AS (SELECT DISTINCT chapter_id, name FROM mentions WHERE chunk_index < 2 AND length(name) <= 6) SELECT a.chapter_id, a.name AS name_a, b.name AS name_b FROM n a JOIN n b ON a.chapter_id = b.chapter_id AND a.name < b.name")
 def alias_pairs(spark, d):
-    return rel.name_pairs(T.mentions(spark, d).where("chunk_index < 2 AND length(name) <= 6"))
+    return rel.name_pairs(T.mentions(spark, d))
 
 
 @query("cooccur_pairs", with_views("chunks", "mentions") + """, p AS (SELECT a.chapter_id, a.chunk_index, a.pos AS i, b.pos AS j, a.name AS source, b.name AS target, least(a.name, b.name) AS lo, greatest(a.name, b.name) AS hi

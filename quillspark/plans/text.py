@@ -336,6 +336,5 @@ def fact_text(spark, d):
 
 @query("entity_clusters")
 def entity_clusters(spark, d):
-    m = T.mentions(spark, d).where("chunk_index < 2").select("book", "name").distinct()
-    p = rel.name_pairs(m, "book")
-    return graph.direct_clusters(p.where(F.levenshtein("name_a", "name_b", 1) >= 0), m, "book")
+    m = T.mentions(spark, d).select("book", "name").distinct()
+    return graph.direct_clusters(rel.near_pairs(m, "book"), m, "book")
