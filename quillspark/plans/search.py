@@ -18,9 +18,18 @@ _DENSE = f"dense AS (SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS q
 
 @query("dense_topk", f"WITH {_DENSE} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM dense")
 def dense_topk(spark, d):
-    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    q = table(spark, d, "embeddings").where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
-    return ret.dense_topk(e, q, "id", "query_id", "embedding", 10)
+    return _dense(spark, d, table(spark, d, "embeddings").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
+def _dense(spark, d, q):
+    return ret.dense_topk(table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"), q, "id", "query_id", "embedding", 10)
+
+
+def _question_vectors(spark, d):
+    """A vector for every question: that of equal number, counted round where there are fewer vectors than questions."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    q = questions(spark, d).select("query_id").crossJoin(F.broadcast(e.agg((F.max("vec_id") + 1).alias("n"))))
+    return q.select("query_id", F.pmod("query_id", "n").alias("vec_id")).join(e, "vec_id").select("query_id", "embedding")
 
 
 #: Questions: the first words of benchmark items; keywords: their long words.
@@ -50,9 +59,9 @@ def lexical_search(spark, d):
 
 
 def _hits(spark, d):
-    """Lexical hits (chunk) and the dense hits of the vectors of equal number (chapter_fact), as ranked lists."""
+    """Lexical hits (chunk) and the dense hits of the questions' vectors (chapter_fact), as ranked lists."""
     lex = lexical(spark, d).select("query_id", F.lit("lexical").alias("list"), F.lit("chunk").alias("source"), (F.col("chapter_id") * 1000 + F.col("chunk_index")).alias("id"), F.col("keywords").cast("double").alias("score"))
-    den = dense_topk(spark, d).select("query_id", F.lit("dense").alias("list"), F.lit("chapter_fact").alias("source"), "id", "score")
+    den = _dense(spark, d, _question_vectors(spark, d)).select("query_id", F.lit("dense").alias("list"), F.lit("chapter_fact").alias("source"), "id", "score")
     return lex.unionByName(den)
 
 

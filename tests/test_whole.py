@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -54,3 +55,27 @@ def test_entity_clusters_of_all_names(spark, tmp_path):
                 taken.update(group)
                 want += [(book, x, n) for x in group]
     assert got == sorted(want)
+
+
+def nearest(ids):
+    e = pd.read_parquet(f"{SF}/embeddings.parquet").sort_values("vec_id")
+    v = np.stack(e["embedding"].to_numpy()).astype(float)
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    every, at = e["vec_id"].tolist(), {x: i for i, x in enumerate(e["vec_id"])}
+    return {q: sorted((-round(float(s), 6), i) for i, s in zip(every, v @ v[at[i]], strict=True))[:10] for q, i in ids.items()}
+
+
+def test_dense_topk_of_every_twentieth_vector(spark):
+    ids = [x for x in pd.read_parquet(f"{SF}/embeddings.parquet")["vec_id"].tolist() if x % 20 == 0]
+    want = sorted((q, i, -s) for q, best in nearest({x: x for x in ids}).items() for s, i in best)
+    got = rows(spark, "dense_topk", "query_id", "id", "score")
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_every_question_has_dense_hits(spark):
+    from quillspark.plans import search
+
+    ids = pd.read_parquet(f"{SF}/benchmark.parquet")["item_id"].tolist()
+    want = sorted((q, i) for q, best in nearest({x: x % 500 for x in ids}).items() for _, i in best)
+    assert sorted(map(tuple, search._hits(spark, SF).where("list = 'dense'").select("query_id", "id").collect())) == want
+    assert {r[0] for r in rows(spark, "rrf_fuse", "query_id", "source") if r[1] == "chapter_fact"} == set(ids)
