@@ -255,7 +255,7 @@ def smart_split(spark, d):
 
 @query("index_items", "SELECT doc_id, doc_id * 10000 AS point_id, 0 AS split_index, left(text, 200) AS preview, CAST(length(text) AS INT) AS size FROM documents WHERE length(text) <= 50000")
 def index_items(spark, d):
-    return extract.index_items(table(spark, d, "documents").where("char_length(text) <= 50000"), "doc_id", "text")
+    return extract.index_items(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
 
 
 # --- extraction and facts

@@ -79,3 +79,21 @@ def test_every_question_has_dense_hits(spark):
     want = sorted((q, i) for q, best in nearest({x: x % 500 for x in ids}).items() for _, i in best)
     assert sorted(map(tuple, search._hits(spark, SF).where("list = 'dense'").select("query_id", "id").collect())) == want
     assert {r[0] for r in rows(spark, "rrf_fuse", "query_id", "source") if r[1] == "chapter_fact"} == set(ids)
+
+
+def cut_up(text, most):
+    """Brute force for texts of one letter: halves until they fit."""
+    return [text] if len(text) <= most else cut_up(text[: len(text) // 2], most) + cut_up(text[len(text) // 2 :], most)
+
+
+def test_index_items_of_long_texts(spark, tmp_path):
+    texts = {1: "short", 2: "x" * 50_000, 3: "y" * 50_001, 4: "z" * 210_003, 5: "Some words, and more. " * 6_000}
+    pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}).to_parquet(tmp_path / "documents.parquet")
+    got = rows(spark, "index_items", "doc_id", "split_index", "point_id", "preview", "size", d=str(tmp_path))
+    want = [(k, i, k * 10_000 + i, p[:200], len(p)) for k, t in texts.items() if k != 5 for i, p in enumerate(cut_up(t, 50_000))]
+    assert [r for r in got if r[0] != 5] == want
+    at, last = 0, [r for r in got if r[0] == 5]
+    for i, (_, split, point, preview, size) in enumerate(last):
+        assert (split, point) == (i, 50_000 + i) and size <= 50_000 and preview == texts[5][at : at + 200]
+        at += size
+    assert at == len(texts[5]) and len(last) > 2
