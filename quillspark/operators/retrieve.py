@@ -37,16 +37,22 @@ def words_of(text: str, pattern: str = "[A-Za-z]+") -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.lower))
 
 
-def lexical(chunks: DataFrame, keywords: DataFrame, query: str, word: str, chunk_key: list[str], text: str, per_word: int, score: float = 0.8) -> DataFrame:
-    """Chunks that hold a keyword as a word, so many a keyword, each chunk once a query.
+def lexical(chunks: DataFrame, keywords: DataFrame, query: str, word: str, chunk_key: list[str], text: str, per_word: int, score: float = 0.8, stem: int = 4) -> DataFrame:
+    """Chunks whose text contains a keyword (of letters, any case), so many a keyword, each chunk once a query.
 
-    Words meet words in an equi-join: no text is compared with every keyword.
+    Keywords are looked for once in the vocabulary of all chunks, where those that share `stem` letters meet in an
+    equi-join and are verified; then words meet words.  No text is compared with every keyword.
     """
     inv = chunks.select(*chunk_key, F.explode(words_of(text)).alias("_w"))
-    hit = keywords.select(query, F.lower(word).alias("_w")).distinct().join(inv, "_w")
-    n = F.row_number().over(Window.partitionBy(query, "_w").orderBy(*chunk_key))
-    few = hit.withColumn("_n", n).where(F.col("_n") <= per_word)
-    return few.groupBy(query, *chunk_key).agg(F.min("_w").alias("keyword"), F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
+    asked = keywords.select(query, F.lower(word).alias("keyword")).distinct()
+    stems = asked.select("keyword").distinct().withColumn("_k", F.left("keyword", F.lit(stem)))
+    cut = F.transform(F.sequence(F.lit(1), F.char_length("_w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(stem)), lambda n: F.substring("_w", i, n)))
+    parts = inv.select("_w").distinct().select("_w", F.explode(F.array_distinct(F.flatten(cut))).alias("_k"))
+    holds = parts.join(stems, "_k").where(F.contains("_w", "keyword")).select("_w", "keyword")
+    hit = holds.join(inv, "_w").select("keyword", *chunk_key).distinct()
+    n = F.row_number().over(Window.partitionBy("keyword").orderBy(*chunk_key))
+    few = asked.join(hit.withColumn("_n", n).where(F.col("_n") <= per_word).drop("_n"), "keyword")
+    return few.groupBy(query, *chunk_key).agg(F.min("keyword").alias("keyword"), F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
 
 
 def names_in(questions: DataFrame, names: DataFrame, query: str, question: str, name: str, pattern: str = "[A-Za-z]+") -> DataFrame:

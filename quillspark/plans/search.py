@@ -46,7 +46,7 @@ def questions(spark, d):
 
 def keywords(spark, d):
     q = questions(spark, d)
-    return q.select("query_id", F.explode(F.regexp_extract_all(F.left("question", F.lit(80)), F.lit("([A-Za-z]{7,})"), 1)).alias("keyword"))
+    return q.select("query_id", F.explode(F.regexp_extract_all("question", F.lit("([A-Za-z]{7,})"), 1)).alias("keyword"))
 
 
 def lexical(spark, d):

@@ -97,3 +97,19 @@ def test_index_items_of_long_texts(spark, tmp_path):
         assert (split, point) == (i, 50_000 + i) and size <= 50_000 and preview == texts[5][at : at + 200]
         at += size
     assert at == len(texts[5]) and len(last) > 2
+
+
+def test_lexical_search_of_whole_questions(spark, duck):
+    sql = with_views("chunks") + """, k AS (SELECT DISTINCT item_id AS query_id, lower(w) AS keyword FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark)),
+     h AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword ORDER BY chapter_id, chunk_index) AS n FROM k JOIN chunks ON contains(lower(content), keyword))
+    SELECT query_id, chapter_id, chunk_index, min(keyword), count(*) FROM h WHERE n <= 5 GROUP BY 1, 2, 3"""
+    assert rows(spark, "lexical_search", "query_id", "chapter_id", "chunk_index", "keyword", "keywords") == sorted(duck.sql(sql).fetchall())
+
+
+def test_lexical_finds_parts_of_words(spark):
+    from quillspark.operators import retrieve
+
+    c = spark.createDataFrame([(1, "The Undertaking's end"), (2, "take UNDERTAKINGS undertaking"), (3, "under taking"), (4, "of")], "id long, text string")
+    k = spark.createDataFrame([(7, "Taking"), (7, "undertaking"), (8, "of"), (8, "taken")], "q long, w string")
+    got = retrieve.lexical(c, k, "q", "w", ["id"], "text", 5).select("q", "id", "keyword", "keywords").collect()
+    assert sorted(map(tuple, got)) == [(7, 1, "taking", 2), (7, 2, "taking", 2), (7, 3, "taking", 1), (8, 4, "of", 1)]
