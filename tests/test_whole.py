@@ -1,6 +1,7 @@
 """Queries do the whole job: they are compared with SQL or brute force without any cut."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -113,3 +114,12 @@ def test_lexical_finds_parts_of_words(spark):
     k = spark.createDataFrame([(7, "Taking"), (7, "undertaking"), (8, "of"), (8, "taken")], "q long, w string")
     got = retrieve.lexical(c, k, "q", "w", ["id"], "text", 5).select("q", "id", "keyword", "keywords").collect()
     assert sorted(map(tuple, got)) == [(7, 1, "taking", 2), (7, 2, "taking", 2), (7, 3, "taking", 1), (8, 4, "of", 1)]
+
+
+def test_keywords_ngram_of_whole_texts(spark):
+    def grams(text):
+        got = {r[i : i + n] for r in re.findall("[a-z]+", text) for n in (2, 3, 4) for i in range(len(r) - n + 1)} - {"th", "he"}
+        return sorted(got, key=lambda g: (len(g), g))[:20]
+
+    b = pd.read_parquet(f"{SF}/benchmark.parquet")
+    assert rows(spark, "keywords_ngram", "item_id", "keywords") == sorted((i, grams(t)) for i, t in zip(b["item_id"], b["text"], strict=True) if grams(t))
