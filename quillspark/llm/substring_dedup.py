@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import textkernel as tk
 from quillspark.llm.common import NO_ID, Cuts, lookup_join, partitions
 
-ANCHOR, MAX_RUNS, BATCHES = 16, 1, 2
+ANCHOR, MAX_RUNS, BATCHES = 16, 1, 4
 #: Ids of documents with something to look at, up to which they are broadcast.
 BROADCAST_IDS = 500_000
 _CHECK = 0xA0761D6478BD642F
