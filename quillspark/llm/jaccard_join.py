@@ -19,11 +19,14 @@ linked with nothing.  Two documents link when 100 * |A & B| >= percent * |A | B|
 4. Cells whose classes are of several components may hide a link yet.  Classes are pruned as in 2, counting such cells
    alone; of its c cells a class is sent to the first c - need + 1 in order of their hash, so a pair, which shares
    `need`, meets in one.  Bitmaps of SIGN_BITS bits a shingle go to these cells (of over BLOCK classes: to its pairs of
-   blocks), trees are traversed there too, and the pairs that they leave, once each, are verified on whole sets.
-
-Nothing is capped or sampled; a large cell becomes more blocks.  Links that are found inside a component already
-connected are not looked for: the result is the components.  The empty table gives an empty result; repeated rows
-are rows of one class; a missing id sorts after every other and is returned as null.
+   blocks) and trees are traversed there too.  Pairs that the bounds leave are not listed: a cell gives a spanning forest
+   of them, so its rows are in proportion to its classes, and the connected classes of all cells are clusters.
+5. Whole sets go, once, to their cluster (of over BLOCK classes or BLOCK_BYTES: to its pairs of blocks), where a tree
+   with larger bitmaps is traversed and what is left is verified on the sets.  Links that join components are returned.
+
+Nothing is capped or sampled; a large cell or cluster becomes more blocks.  Links that are found inside a component
+already connected are not looked for: the result is the components.  The empty table gives an empty result; repeated
+rows are rows of one class; a missing id sorts after every other and is returned as null.
 """
 
 from __future__ import annotations
@@ -37,14 +40,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkernel as tk
-from quillspark.llm.common import NO_ID, Cuts, components, lookup_join, partitions
+from quillspark.llm.common import NO_ID, Cuts, components, forest, lookup_join, partitions
 
 U = np.uint64
 #: Counters of the frequency sketch (4 bytes each): the bound of what is sent to the driver and broadcast.
 SKETCH_BITS = 18
 #: Bits of a leaf's bitmap for each shingle of the largest set of a group, and at most in all.
-BITS_EACH, MOST_BITS = 8, 1 << 18
+BITS_EACH, MOST_BITS = 8, 1 << 16
 BLOCK, FANOUT, SHARED, PRUNES, SIGN_BITS = 1024, 8, 5, 2, 3
+#: Bytes of whole sets that a block holds on the average.
+BLOCK_BYTES = 16 << 20
 #: Rows (of a few longs) up to which classes and their places are broadcast to the sets; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of bitmaps up to which they are broadcast to the cells; beyond, each row takes its own along.
@@ -203,26 +208,33 @@ def bitmaps(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, sizes, sizes - np.bitwise_count(out).sum(axis=1).astype(np.int64)
 
 
-def traverse(bits: np.ndarray, sizes: np.ndarray, lost: np.ndarray, comp: Callable, percent: int, side: np.ndarray | None = None):
+def traverse(bits: np.ndarray, sizes: np.ndarray, lost: np.ndarray, labels: Callable, percent: int, side: np.ndarray | None = None):
     """Dual traversal of a signature tree: yields arrays of the leaf pairs that bounds leave.
 
-    comp() tells the components of the leaves at the time it is asked; side: pairs of one side are left out.
+    labels() gives labellings of the leaves as they are when it is asked, the components first: pairs that one of them
+    has together are left out.  side: pairs of one side are left out.
     """
-    order = np.lexsort((sizes, comp()))  # nodes of one component can be dropped whole
+    order = np.lexsort((sizes, labels()[0]))  # nodes of one component can be dropped whole
     tree = Tree(bits[order], sizes[order], lost[order])
     sides = None if side is None else side[order]
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(len(tree.levels) - 1, -1, -1):
-        low = high = comp()[order]
-        for _ in range(level):
-            cut = np.arange(0, len(low), FANOUT)
-            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+        ranges = []
+        for label in labels():
+            low = high = label[order]
+            for _ in range(level):
+                cut = np.arange(0, len(low), FANOUT)
+                low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+            ranges.append((low, high))
         kept_a, kept_b = [], []
         bm, lo, hi, ls = tree.levels[level]
         for i in range(0, len(a), 1 << 12):
             x, y = a[i : i + (1 << 12)], b[i : i + (1 << 12)]
-            one = (low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y])
-            fits = ~one & (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
+            if not level and i:
+                ranges = [(now := label[order], now) for label in labels()]
+            fits = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
+            for low, high in ranges:
+                fits &= ~((low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y]))
             x, y = x[fits], y[fits]
             need = -(-percent * (lo[x] + lo[y]) // (100 + percent))
             bound = np.bitwise_count(bm[x] & bm[y]).sum(axis=1) + np.minimum(ls[x], ls[y])
@@ -245,8 +257,11 @@ def traverse(bits: np.ndarray, sizes: np.ndarray, lost: np.ndarray, comp: Callab
             a, b = np.concatenate(kept_a) if kept_a else a[:0], np.concatenate(kept_b) if kept_b else b[:0]
 
 
-def links(values: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Positions (i, j) of linked sets that join different components: with comp, all links' connectivity."""
+def links(values: list[np.ndarray], comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions (i, j) of linked sets that join different components: with comp, all links' connectivity.
+
+    side: pairs of one side are left to another group.
+    """
     n = len(values)
     if n < 2:
         return []
@@ -275,7 +290,7 @@ def links(values: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tupl
     for j in np.flatnonzero(bound >= need).tolist():
         if j:
             verify(0, j)
-    for i, j in traverse(bits, sizes, lost, lambda: np.array([root(int(c)) for c in comp]), percent):
+    for i, j in traverse(bits, sizes, lost, lambda: [np.array([root(int(c)) for c in comp])], percent, side):
         for p, q in zip(i.tolist(), j.tolist(), strict=True):
             verify(p, q)
     return found
@@ -299,16 +314,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
-def _verify(percent: int) -> Callable:
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            yes = []
-            for u, v in zip(x, y, strict=True):
-                u, v = np.frombuffer(u.as_buffer(), "<u8"), np.frombuffer(v.as_buffer(), "<u8")
-                both = overlap(u, v)
-                yes.append(both > 0 and 100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.record_batch([batch.column(0).filter(pa.array(yes, pa.bool_())), batch.column(1).filter(pa.array(yes, pa.bool_()))], names=["a", "b"])
+def _tree_cluster(percent: int) -> Callable:
+    """Links of a cluster, or of a pair of its blocks, that join components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sid").reset_index(drop=True)
+        sid, side = pdf["sid"].to_numpy(), pdf["side"].to_numpy()
+        got = links([np.frombuffer(x, "<u8") for x in pdf["hashes"]], pdf["comp"].to_numpy(), percent, side if side.any() else None)
+        i, j = (np.array(x, np.int64) for x in zip(*got, strict=True)) if got else (np.empty(0, np.int64),) * 2
+        return pd.DataFrame({"a": sid[i], "b": sid[j]})
 
     return run
 
@@ -330,22 +344,46 @@ def _signatures(batches):
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["sid", "n", "bits"])
 
 
-def _small_pairs(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int):
-    """Pairs of rows of one cell (rows are in order of cells, cells are small) that the bounds leave."""
+class Joined:
+    """Which rows' classes are connected so far."""
+
+    def __init__(self, sid: np.ndarray, edges: tuple[np.ndarray, np.ndarray]):
+        self.nodes, self.row = np.unique(sid, return_inverse=True)
+        self.label, self.edges = np.arange(len(self.nodes)), edges
+        node, root = edges
+        if len(node):
+            at = np.minimum(np.searchsorted(node, self.nodes), len(node) - 1)
+            self.label = np.unique(np.where(node[at] == self.nodes, root[at], self.nodes), return_inverse=True)[1]
+
+    def of_rows(self) -> np.ndarray:
+        return self.label[self.row]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins the classes of rows i and j."""
+        if len(i):
+            x, y = self.row[i], self.row[j]
+            node, root = forest(self.label[x], self.label[y])
+            to = np.arange(len(self.nodes))
+            to[node] = root
+            self.label = to[self.label]
+            self.edges = forest(np.concatenate([self.edges[0], self.nodes[x]]), np.concatenate([self.edges[1], self.nodes[y]]))
+
+
+def _small_cells(joined: Joined, rows: np.ndarray, cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> None:
+    """Joins pairs of rows of one cell (rows are in order of cells, cells are small) that the bounds leave."""
     width = np.array([8 * len(b) for b in bits])
     full = {w: np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(width == w).tolist()), "<u8").reshape(-1, w // 64) for w in np.unique(width).tolist()}
     row = np.zeros(len(n), np.int64)
     for w in full:
         row[width == w] = np.arange((width == w).sum())
     half = {w: m[:, : w // 128] | m[:, w // 128 :] for w, m in full.items() if w > 64}
-    paired = np.zeros(len(n), bool)
-    paired[np.flatnonzero(side)] = True
-    two = np.isin(cell, cell[paired])
+    two = np.isin(cell, cell[side > 0])
     most = int(np.bincount(np.unique(cell, return_inverse=True)[1]).max(initial=0))
     for d in range(1, most):
-        i = np.flatnonzero(cell[:-d] == cell[d:])
+        label = joined.of_rows()[rows]
+        i = np.flatnonzero((cell[:-d] == cell[d:]) & (comp[:-d] != comp[d:]) & (label[:-d] != label[d:]))
         j = i + d
-        ok = (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i]) & (~two[i] | (side[i] != side[j]))
+        ok = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i]) & (~two[i] | (side[i] != side[j]))
         i, j = i[ok], j[ok]
         swap = width[i] > width[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -358,48 +396,48 @@ def _small_pairs(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.nda
                     lost = np.minimum(n[x] - np.bitwise_count(a).sum(axis=1), n[y] - np.bitwise_count(b).sum(axis=1))
                     bound = np.minimum(np.bitwise_count(a & b).sum(axis=1) + lost, np.minimum(n[x], n[y]))
                     ok = bound >= np.maximum(-(-percent * (n[x] + n[y]) // (100 + percent)), 1)
-                    yield x[ok], y[ok]
+                    joined.add(rows[x[ok]], rows[y[ok]])
 
 
-def _large_pairs(side, comp, n, bits, percent):
-    """The same of one large cell, by signature trees: a tree for each width, larger bitmaps folded to it."""
+def _large_cell(joined: Joined, rows: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> None:
+    """The same for one large cell, by signature trees: a tree for each width, larger bitmaps folded to it."""
     width = np.array([8 * len(b) for b in bits])
     for w in np.unique(width).tolist():
         at = np.flatnonzero((width == w) | (width == 2 * w))
         m = np.stack([np.frombuffer(bits[i], "<u8") if width[i] == w else np.bitwise_or.reduce(np.frombuffer(bits[i], "<u8").reshape(2, -1)) for i in at.tolist()])
         lost = n[at] - np.bitwise_count(m).sum(axis=1).astype(np.int64)
-        for i, j in traverse(m, n[at], lost, lambda at=at: comp[at], percent, side[at] if side.any() else None):
+        labels = lambda at=at: [comp[at], joined.of_rows()[rows[at]]]
+        for i, j in traverse(m, n[at], lost, labels, percent, side[at] if side.any() else None):
             keep = (width[at[i]] == w) | (width[at[j]] == w)  # both larger: their own tree has them
-            yield at[i[keep]], at[j[keep]]
+            joined.add(rows[at[i[keep]]], rows[at[j[keep]]])
 
 
-def _cell_pairs(percent: int, signs=None, small: int = 64) -> Callable:
-    """Pairs that cells leave; rows come sorted by cell, and a cell is at most two blocks.
+def _cell_forest(percent: int, signs=None, small: int = 64) -> Callable:
+    """A spanning forest of the pairs that cells leave; rows come sorted by cell, and a cell is at most two blocks.
 
     signs: broadcast (sorted sids, sizes, bitmaps), unless rows bring theirs.
     """
 
     def run(batches):
+        edges = np.empty(0, np.int64), np.empty(0, np.int64)
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            yield from pairs(t, last=False)
-            held = rest[0]
+            held, edges = joined(t if held is None else pa.concat_tables([held, t]), edges, last=False)
         if held is not None:
-            yield from pairs(held, last=True)
-
-    rest: list = [None]
+            _, edges = joined(held, edges, last=True)
+        if len(edges[0]):
+            yield pa.record_batch([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
 
-    def pairs(t, last):
+    def joined(t, edges, last):
         key = np.stack([t.column(k).to_numpy() for k in range(3)])
         new = np.ones(t.num_rows, bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         start = np.flatnonzero(new)
         end = t.num_rows if last else int(start[-1]) if len(start) else 0
-        rest[0] = t.slice(end).combine_chunks()
+        rest = t.slice(end).combine_chunks()
         if not end:
-            return
+            return rest, edges
         cell = np.cumsum(new)[:end]
         side, sid, comp = (t.column(k).to_numpy()[:end] for k in (3, 4, 5))
         if signs is None:
@@ -409,15 +447,13 @@ def _cell_pairs(percent: int, signs=None, small: int = 64) -> Callable:
             at = np.searchsorted(known, sid)
             n, bits = sizes[at], [maps[i] for i in at.tolist()]
         count = np.bincount(cell)[cell]
-        some = np.flatnonzero(count <= small)
-        out = [(some[i], some[j]) for i, j in _small_pairs(cell[some], side[some], comp[some], n[some], [bits[i] for i in some.tolist()], percent)] if len(some) else []
+        some, all_ = np.flatnonzero(count <= small), Joined(sid, edges)
+        if len(some):
+            _small_cells(all_, some, cell[some], side[some], comp[some], n[some], [bits[i] for i in some.tolist()], percent)
         for c in np.unique(cell[count > small]).tolist():
             at = np.flatnonzero(cell == c)
-            out += [(at[i], at[j]) for i, j in _large_pairs(side[at], comp[at], n[at], [bits[i] for i in at.tolist()], percent)]
-        if out:
-            x, y = sid[np.concatenate([i for i, _ in out])], sid[np.concatenate([j for _, j in out])]
-            got = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.record_batch([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+            _large_cell(all_, at, side[at], comp[at], n[at], [bits[i] for i in at.tolist()], percent)
+        return rest, all_.edges
 
     return run
 
@@ -441,12 +477,19 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _blocks(members: DataFrame, group: str) -> DataFrame:
+    """(group, blocks): of BLOCK classes and BLOCK_BYTES bytes of sets (n shingles each) on the average."""
+    many, large = F.count(F.lit(1)) / BLOCK, F.sum(F.col("n")) * 8 / BLOCK_BYTES
+    return members.groupBy(group).agg(F.ceil(F.greatest(many, large)).cast("int").alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1)))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
     cuts, parts = Cuts(spark), partitions(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
     rows = cuts.cut(texts.mapInArrow(_summary(k), "_id long, n long, sid long"))
+    classes = cuts.cut(rows.groupBy("sid").agg(F.first("n").alias("n"), F.min("_id").alias("_id"), F.count(F.lit(1)).alias("size")))
     chunks = texts.mapInArrow(_sketch(k), "chunk long, counts binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk long, counts binary")
     counts = [np.frombuffer(r.counts, "<i8") for r in sorted(chunks.collect(), key=lambda r: r.chunk)]
     # how often, in steps of a half; where counts are alike the order is by hash
@@ -455,7 +498,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     dealt = texts.mapInArrow(_prefixes(k, percent, order), "token long, sid long").repartition(parts, "token").sortWithinPartitions("token", "sid")
     cells = cuts.cut(dealt.mapInArrow(_cells, "token long, sid long"))
-    needs = rows.groupBy("sid").agg(F.first("n").alias("n")).select("sid", least_shared("n", percent, SHARED).alias("need"))
+    needs = classes.select("sid", least_shared("n", percent, SHARED).alias("need"))
     by_token = Window.partitionBy("token")
     for _ in range(PRUNES):
         busy = cuts.cut(cells.groupBy("sid").agg(F.count(F.lit(1)).alias("c")).join(needs, "sid").where("c >= need").select("sid", "c", "need"))
@@ -467,12 +510,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cells = new
     # one document of each of these classes, found before its text is read: few ids go to the texts, many meet them by shuffle
     live = cells.select("sid").distinct()
-    of_class = cuts.cut(rows.join(live, "sid", "left_semi").groupBy("sid").agg(F.min("_id").alias("_id")).select("_id").distinct())
+    of_class = cuts.cut(classes.join(live, "sid", "left_semi").select("_id").distinct())
     sets = cuts.cut(texts.join(_few(of_class), "_id", "left_semi").mapInArrow(_set_rows(k), "sid long, hashes binary"))
+    order.unpersist()
 
     best = F.max_by("lead", F.struct("n", (-F.col("lead")).alias("l")))
     home = cuts.cut(cells.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("sid").agg(best.alias("home")))
-    sizes = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    home = home.join(classes.select("sid", "n"), "sid")
+    sizes = _blocks(home, "home")
     members = home.join(sizes, "home").select("home", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("part"), "sid", (F.col("sid") == F.col("home")).alias("first"))
     heads = sizes.select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("home").alias("sid"), F.lit(True).alias("first"))
     placed = cuts.cut(members.unionByName(heads))
@@ -504,21 +549,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             in_blocks = in_blocks.join(signs, "sid")
         dealt = in_blocks.select(*group, "side", "sid", "comp", *extra).repartition(parts, *group).sortWithinPartitions(*group)
-        pairs = cuts.cut(dealt.mapInArrow(_cell_pairs(percent, sent), "a long, b long").distinct())
-        # both sets of each pair meet; sets of no pair stay where they are
-        needed = cuts.cut(pairs.select(F.col("b")).distinct())
-        one, two = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-        two = two.join(_few(needed), "b", "left_semi")
-        more = cuts.cut(two.join(one.join(_few(pairs), "a"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+        near = components(cuts, cuts.cut(dealt.mapInArrow(_cell_forest(percent, sent), "a long, b long")))  # cut: a task has one worker
+        if sent is not None:
+            sent.unpersist()
+        # each cluster of classes that may link, in pairs of blocks; a class's set goes there once a block of its cluster
+        near = near.select(F.col("id").alias("sid"), F.col("component").alias("cluster")).join(classes.select("sid", "n"), "sid")
+        near = near.join(_few(comp), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        near = cuts.cut(near.join(_blocks(near, "cluster"), "cluster").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")))
+        near = near.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least(b, o).alias("g2"), F.greatest(b, o).alias("g3"), (b > o).cast("int").alias("side"), "sid", "comp")
+        more = cuts.cut(sets.join(_few(cuts.cut(near)), "sid").groupBy("cluster", "g2", "g3").applyInPandas(_tree_cluster(percent), "a long, b long"))
         if not more.isEmpty():
             comp = components(cuts, edges.unionByName(more)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
     # classes to documents: smallest id of each component
-    low = rows.where("n > 0").groupBy("sid").agg(F.min("_id").alias("low"))
-    low = low.join(comp, "sid", "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp"))
+    low = classes.where("n > 0").join(comp, "sid", "left").select("sid", F.col("_id").alias("low"), F.coalesce("comp", "sid").alias("comp"))
     best = low.groupBy("comp").agg(F.min("low").alias("component"))
     by_class = cuts.cut(low.join(best, "comp").select("sid", "component"))
     nul = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    sized = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("size")).join(by_class, "sid", "left")
+    sized = classes.select("sid", "size").join(by_class, "sid", "left")
     out = lookup_join(rows, sized, "sid", "size")
     out = out.withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")))
     return out.select(nul("_id").alias(id_col), F.col("n").alias("n_shingles"), nul("component").alias("component_id"))
