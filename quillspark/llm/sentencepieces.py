@@ -35,8 +35,9 @@ from quillspark.llm import textkernel as tk
 
 U = np.uint64
 BLANK = "▁"
-#: Units that a worker remembers with their ids; beyond, it starts anew.
-CACHE = 1_000_000
+#: Characters and ids (and 32 for each unit) of the units that a task remembers; beyond, it starts anew.  Longer units
+#: than LONG_UNIT are forgotten after each piece of a batch.
+CACHE, LONG_UNIT = 6_000_000, 64
 #: Bits of the table that tells most substrings from pieces before the keys are searched.
 MAYBE_BITS = 20
 _NONE = np.iinfo(np.int64).max
@@ -309,6 +310,7 @@ class Codec:
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
         self.ids, self.first, self.count, self.used = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.weight = 0
 
     def _learn(self, units: set[str]) -> None:
         plain: dict[int, list[str]] = {}
@@ -341,6 +343,7 @@ class Codec:
         self.first[n : n + len(units)] = self.used + np.cumsum(size) - size
         self.count[n : n + len(units)] = size
         self.used += len(flat)
+        self.weight += len(flat) + sum(map(len, units)) + 32 * len(units)
         self.at.update(zip(units, range(n, n + len(units)), strict=True))
 
     def form(self, text: str) -> str:
@@ -360,13 +363,19 @@ class Codec:
         miss = np.flatnonzero(at < 0).tolist()
         if miss:
             new = {units[i] for i in miss}
-            if len(self.at) + len(new) > CACHE:
-                self._reset()
-                new, miss = set(units), range(len(units))
-            self._learn(new)
+            long = {u for u in new if len(u) > LONG_UNIT}
+            self._learn(new - long)
+            kept = self.used, self.weight
+            self._learn(long)
             at[miss] = [self.at[units[i]] for i in miss]
         flat = self.ids[tk.spread(self.first[at], self.count[at])]
         total = np.concatenate([[0], np.cumsum(self.count[at])])
+        if self.weight > CACHE:
+            self._reset()
+        elif miss and long:
+            for u in long:
+                del self.at[u]
+            self.used, self.weight = kept
         end = np.cumsum(per)
         return flat, total[end] - total[end - np.array(per, np.int64)] if len(per) else np.empty(0, np.int64)
 
@@ -380,20 +389,9 @@ class Codec:
         return [out[x + (skip if out[x : x + 1] == b" " else 0) : y] for x, y in zip(a, b, strict=True)]
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(sent) -> Codec:
-    key = sent._jbroadcast.id() if getattr(sent, "_jbroadcast", None) is not None else id(sent.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(sent.value)
-    return _codecs[key]
-
-
 def _encode(sent):
     def run(batches):
-        codec = _codec(sent)
+        codec = Codec(sent.value)  # a task's own: a reused worker keeps nothing
         for batch in batches:
             _, at = tk.buffers(batch.column(1))
             for i, j in tk.pieces(at):
@@ -415,7 +413,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def _decode(sent):
     def run(batches):
-        codec = _codec(sent)
+        codec = Codec(sent.value)  # a task's own: a reused worker keeps nothing
         for batch in batches:
             rows = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
             out = codec.decode(np.concatenate(rows) if rows else np.empty(0, np.int64), np.array([len(r) for r in rows], np.int64))

@@ -33,13 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, i < n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        m = max(n, 1 << 16)
-        up, down = np.full(m, base, U), np.full(m, pow(base, -1, 2**64), U)
-        up[0] = down[0] = 1
-        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[base]
+    """base**i and base**-i modulo 2**64, i < n at least.  A worker keeps those of one piece of a batch, not more."""
+    if base in _powers and len(_powers[base][0]) >= n:
+        return _powers[base]
+    m = max(n, 1 << 16)
+    up, down = np.full(m, base, U), np.full(m, pow(base, -1, 2**64), U)
+    up[0] = down[0] = 1
+    got = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if m <= CHUNK // 2:
+        _powers[base] = got
+    return got
 
 
 class Words:
