@@ -2,10 +2,11 @@
 
 Subwords are the 3-byte sequences of the whole text (A-Z lower-cased, white space as one kind of blank) that hold
 letters and blanks only, hashed to 2**BUCKET_BITS embeddings.  A text is the mean of its subwords' embeddings, and a
-softmax layer reads it.  Both are trained by stochastic gradient descent in numpy, on a bounded sample: of each of the
-MOST_LANGS commonest languages about TRAIN_PER_LANG labelled documents, picked by a hash of the id, with SUBWORDS
-subwords drawn from anywhere in each text.  After training the mean of (embedding x layer) is the logit, so
-prediction reads one small table; every subword of a text counts.
+softmax layer reads it.  Both are trained by stochastic gradient descent in numpy, on a bounded sample: of each language
+about TRAIN_PER_LANG labelled documents, fewer where all languages together would have more than TRAIN_ROWS (a language
+keeps one at least), picked by a hash of id and text, with SUBWORDS subwords drawn from anywhere in each text by a
+generator of that hash.  So the model does not depend on how the table is dealt.  After training the mean of (embedding x
+layer) is the logit, so prediction reads one small table; every subword of a text counts.
 
 Calibration, on a fifth of the sample that training does not see: logits are scaled by a * n / (n + n0), n being the
 number of subwords, with a and n0 of least log loss over whole and shortened texts; the rejection threshold is the
@@ -13,7 +14,8 @@ score that all but REJECT of the rightly told calibration documents reach, at mo
 
 Null texts and texts without a letter are `und` with score 0 and rejected.  Texts with letters but no subword get the
 commonest language with its share as score.  Without any labelled document everything is `und`.  Repeated rows are
-predicted alike; an empty table gives an empty result.
+predicted alike; of equal scores the language of smaller code points is told; a missing id is never held out and is
+returned as null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import textkernel as tk
 
-BUCKET_BITS, DIM, SUBWORDS, TRAIN_PER_LANG, MOST_LANGS, REJECT = 15, 16, 512, 1500, 100, 0.001
+BUCKET_BITS, DIM, SUBWORDS, TRAIN_PER_LANG, TRAIN_ROWS, REJECT = 15, 16, 512, 1500, 20_000, 0.001
 EPOCHS, RATE, BATCH, SEED = 6, 0.5, 32, 11
 
 _CLASS = np.zeros(256, np.uint8)  # of a byte: itself lower-cased if a letter or above ASCII, a blank, or 0
@@ -74,12 +76,11 @@ def _draw(per_doc: int):
         for batch in batches:
             data, at = tk.buffers(batch.column(1))
             out = []
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for a, b, seed in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(3).to_pylist(), strict=True):
                 s = subwords(data[a:b])[:-2]
                 s = s[s > 0]
-                rng = np.random.default_rng([SEED, b - a, i])
-                out.append((rng.choice(s, per_doc) if len(s) > per_doc else s).astype(np.int32))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["_id", "lang", "subwords"])
+                out.append((np.random.default_rng([SEED, seed]).choice(s, per_doc) if len(s) > per_doc else s).astype(np.int32))
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.list_(pa.int32()))], names=["_id", "lang", "pick", "subwords"])
 
     return run
 
@@ -91,19 +92,20 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from text and non-null language of the documents that are not held out."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGS).collect()
+    counts = known.groupBy("_lang").count().orderBy("_lang").collect()  # as many as the model has outputs
     if not counts:
         return Model([], np.zeros(0), np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
-    langs = sorted(r["_lang"] for r in counts)
-    share = {r["_lang"]: r["count"] for r in counts}
-    pick = F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for name, n in share.items():
-        chosen = chosen | ((F.col("_lang") == name) & (pick < int(min(1.0, TRAIN_PER_LANG / n) * (1 << 30))))
-    rows = known.where(chosen).mapInArrow(_draw(SUBWORDS), "_id long, lang string, subwords array<int>").toArrow()
-    rows = rows.take(pa.compute.sort_indices(rows, [("_id", "ascending"), ("lang", "ascending")])) if rows.num_rows else rows
-    y = np.array([langs.index(x) for x in rows["lang"].to_pylist()], np.int64)
-    x = [np.asarray(v, np.int64) for v in rows["subwords"].to_pylist()]
+    langs, share = [r["_lang"] for r in counts], {r["_lang"]: r["count"] for r in counts}
+    each = max(1, min(TRAIN_PER_LANG, TRAIN_ROWS // len(langs)))
+    spark = docs.sparkSession
+    limits = spark.createDataFrame([(k, int(min(1.0, each / n) * (1 << 30))) for k, n in share.items()], "_lang string, _limit long")
+    known = known.withColumn("pick", F.pmod(F.xxhash64(F.lit(SEED), "_id", "_t"), F.lit(1 << 30)))
+    chosen = known.join(F.broadcast(limits) if len(langs) <= 100_000 else limits, "_lang").where("pick < _limit").select("_id", "_t", "_lang", "pick")
+    rows = chosen.mapInArrow(_draw(SUBWORDS), "_id long, lang string, pick long, subwords array<int>").toArrow()
+    rows = rows.take(pa.compute.sort_indices(rows, [("_id", "ascending"), ("lang", "ascending"), ("pick", "ascending")])) if rows.num_rows else rows
+    at = {x: i for i, x in enumerate(langs)}
+    y = np.array([at[x] for x in rows["lang"].to_pylist()], np.int64)
+    x = [v.values.to_numpy(zero_copy_only=False) for v in rows["subwords"]]
     return train(x, y, langs, np.array([share[k] for k in langs], float))
 
 
@@ -123,8 +125,7 @@ def train(x: list[np.ndarray], y: np.ndarray, langs: list[str], counts: np.ndarr
         for i in range(0, len(used), BATCH):
             rate = np.float32(RATE * (1 - step / steps))
             step += 1
-            rows = [x[j] for j in rng.permutation(used[i : i + BATCH])]
-            lab = y[[j for j in used[i : i + BATCH]]]
+            lab = y[used[i : i + BATCH]]
             rows = [x[j] for j in used[i : i + BATCH]]
             size = np.array([len(r) for r in rows])
             flat = np.concatenate(rows)
@@ -173,7 +174,7 @@ def _predict(model):
             data, at = tk.buffers(batch.column(1))
             letters = batch.column(2).to_numpy(zero_copy_only=False)
             pred, score = [], []
-            for i, j in tk.pieces(at):
+            for i, j in tk.pieces(at, max(1 << 14, (1 << 22) // max(len(m.langs), 4))):
                 size = np.diff(at[i : j + 1])
                 sub = subwords(data[at[i] : at[j]])
                 # no subword runs from one text into the next
@@ -184,11 +185,14 @@ def _predict(model):
                 sums, n = np.zeros((j - i, len(m.langs))), np.zeros(j - i, np.int64)
                 if len(has) and m.langs:
                     start = (at[i:j] - at[i])[has]
-                    sums[has] = np.add.reduceat(m.table[sub], start, axis=0, dtype=np.float64)
                     n[has] = np.add.reduceat((sub > 0).astype(np.int64), start)
+                    if len(has) == 1 and len(sub) > len(m.table):  # one long text: how often it has each subword
+                        sums[has[0]] = np.bincount(sub, minlength=len(m.table)) @ m.table.astype(np.float64)
+                    else:
+                        sums[has] = np.add.reduceat(m.table[sub], start, axis=0, dtype=np.float64)
                 if m.langs:
                     p = m.scores(sums, n)
-                    top = p.argmax(axis=1)
+                    top = p.argmax(axis=1)  # the first of equals
                     pred += [m.langs[k] if ok else "und" for k, ok in zip(top.tolist(), letters[i:j], strict=True)]
                     score += np.where(letters[i:j], p[np.arange(j - i), top], 0.0).tolist()
                 else:
