@@ -142,7 +142,7 @@ def overlapping(stages: DataFrame, entities: DataFrame, on: list[str], most: int
 
 def rank_fusion(hits: DataFrame, weights: dict[str, float], k: int, top: int, query: str = "query_id") -> DataFrame:
     """Weighted reciprocal rank fusion of hits (query, list, source, id, score): score = sum of w(source) / (k + rank)."""
-    rank = F.row_number().over(Window.partitionBy(query, "list").orderBy(F.desc("score"), "id")) - 1
+    rank = F.row_number().over(Window.partitionBy(query, "list").orderBy(F.desc("score"), "source", "id")) - 1
     default = weights.get("*", 0.5)
     w = reduce(lambda c, kv: F.when(F.col("source") == kv[0], F.lit(kv[1])).otherwise(c), [x for x in weights.items() if x[0] != "*"], F.lit(default))
     fused = hits.withColumn("part", w / (F.lit(float(k)) + rank)).groupBy(query, "source", "id").agg(F.round(F.sum("part"), 9).alias("score"))

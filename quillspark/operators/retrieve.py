@@ -55,10 +55,25 @@ def lexical(chunks: DataFrame, keywords: DataFrame, query: str, word: str, chunk
     return few.groupBy(query, *chunk_key).agg(F.min("keyword").alias("keyword"), F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
 
 
-def names_in(questions: DataFrame, names: DataFrame, query: str, question: str, name: str, pattern: str = "[A-Za-z]+") -> DataFrame:
-    """Known names that a question contains, by its words."""
-    q = questions.select(query, F.explode(F.array_distinct(F.regexp_extract_all(question, F.lit(f"({pattern})"), 1))).alias(name))
-    return q.join(names.select(name).distinct(), name).select(query, name)
+def containing(chunks: DataFrame, names: DataFrame, name: str, key: list[str], text: str, stem: int = 4) -> DataFrame:
+    """(name, key...) of the chunks whose text contains a name (at least `stem` letters, case as it is).
+
+    Names and words of the chunks' vocabulary that share `stem` letters meet in an equi-join and are verified.
+    """
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1))
+    inv = chunks.select(*key, F.explode(words).alias("_w")).where(F.char_length("_w") >= stem)
+    cut = F.transform(F.sequence(F.lit(1), F.char_length("_w") - (stem - 1)), lambda i: F.substring("_w", i, F.lit(stem)))
+    parts = inv.select("_w").distinct().select("_w", F.explode(F.array_distinct(cut)).alias("_k"))
+    wanted = names.select(name).distinct().withColumn("_k", F.left(name, F.lit(stem)))
+    return parts.join(wanted, "_k").where(F.contains("_w", name)).select("_w", name).join(inv, "_w").select(name, *key).distinct()
+
+
+def names_in(questions: DataFrame, names: DataFrame, query: str, question: str, name: str, stem: int = 2) -> DataFrame:
+    """Known names (of `stem` letters at least) that a question contains anywhere."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(question) - (stem - 1), F.lit(1))), lambda i: F.substring(question, i, F.lit(stem)))
+    q = questions.select(query, question, F.explode(F.array_distinct(at)).alias("_k"))
+    n = names.select(name).distinct().withColumn("_k", F.left(name, F.lit(stem)))
+    return q.join(n, "_k").where(F.contains(question, name)).select(query, name).distinct()
 
 
 def expand_aliases(found: DataFrame, profiles: DataFrame, query: str, name: str, aliases: str, least: int = 2) -> DataFrame:
@@ -67,12 +82,16 @@ def expand_aliases(found: DataFrame, profiles: DataFrame, query: str, name: str,
     return a.where(F.char_length("alias") >= least).distinct()
 
 
-def knowledge(branches: list[tuple[DataFrame, str, float, int]], query: str) -> DataFrame:
-    """Union of branches of structured knowledge (hits, source, score, most a query)."""
+def knowledge(branches: list[tuple[DataFrame, str, float, int]], query: str, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """Union of branches of structured knowledge (hits (key, n, text), source, score, most a query), largest n first.
+
+    The id is the first 60 bits of the key's MD5.
+    """
     out = []
     for hits, source, score, most in branches:
-        n = F.row_number().over(Window.partitionBy(query).orderBy("id"))
-        out.append(hits.withColumn("_n", n).where(F.col("_n") <= most).select(query, F.lit(source).alias("source"), "id", F.lit(score).alias("score"), "text"))
+        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("n"), "key"))
+        id_ = F.conv(F.left(F.md5("key"), F.lit(15)), 16, 10).cast("long")
+        out.append(hits.withColumn("_n", rank).where(F.col("_n") <= most).select(query, F.lit(source).alias("source"), id_.alias("id"), F.lit(score).alias("score"), "text", *extra))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -109,10 +109,9 @@ def chapter_fact_left(spark, d):
     return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_name", "o_orderkey")
 
 
-@query("chapter_chunk_counts", with_views("chapters", "chunks") + "SELECT c.chapter_id, c.book, c.chapter_number, coalesce(n, 0) AS chunks FROM chapters c LEFT JOIN (SELECT chapter_id, count(*) AS n FROM chunks WHERE length(content) > 200 GROUP BY 1) USING (chapter_id)")
+@query("chapter_chunk_counts", with_views("chapters", "chunks") + "SELECT c.chapter_id, c.book, c.chapter_number, coalesce(n, 0) AS chunks FROM chapters c LEFT JOIN (SELECT chapter_id, count(*) AS n FROM chunks GROUP BY 1) USING (chapter_id)")
 def chapter_chunk_counts(spark, d):
-    long_ = T.chunks(spark, d).where(F.char_length("content") > 200)
-    return rel.count_onto(T.chapters(spark, d).select("chapter_id", "book", "chapter_number"), long_, ["chapter_id"], "chunks")
+    return rel.count_onto(T.chapters(spark, d).select("chapter_id", "book", "chapter_number"), T.chunks(spark, d), ["chapter_id"], "chunks")
 
 
 @query("patch_counts", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS evidence_count, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS review_count FROM customer")
@@ -122,7 +121,7 @@ def patch_counts(spark, d):
     return rel.count_onto(rel.count_onto(base, o.where("o_orderstatus = 'O'"), ["c_custkey"], "evidence_count"), o.where("o_orderstatus = 'F'"), ["c_custkey"], "review_count")
 
 
-@query("alias_pairs", with_views("chunks", "mentions") + ", n AS (SELECT DISTINCT chapter_id, name FROM mentions WHERE chunk_index < 2 AND length(name) <= 6) SELECT a.chapter_id, a.name AS name_a, b.name AS name_b FROM n a JOIN n b ON a.chapter_id = b.chapter_id AND a.name < b.name")
+@query("alias_pairs", with_views("chunks", "mentions") + ", n AS (SELECT DISTINCT chapter_id, name FROM mentions) SELECT a.chapter_id, a.name AS name_a, b.name AS name_b FROM n a JOIN n b ON a.chapter_id = b.chapter_id AND a.name < b.name")
 def alias_pairs(spark, d):
     return rel.name_pairs(T.mentions(spark, d))
 

@@ -79,10 +79,10 @@ def plan_effects(spark, d):
     return n.select("book", F.explode(steps).alias("s")).select("book", "s.*")
 
 
-@query("export_chapter_facts", "SELECT doc_id, 'Extract the facts of ' || source AS instruction, left(text, 500) AS input, lang AS output FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+@query("export_chapter_facts", "SELECT doc_id, 'Extract the facts of ' || source AS instruction, text AS input, lang AS output FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
 def export_chapter_facts(spark, d):
     good = table(spark, d, "labels").where("quality = 1").select("doc_id")
-    return sinks.instructions(table(spark, d, "documents").join(good, "doc_id"), F.concat(F.lit("Extract the facts of "), "source"), F.left("text", F.lit(500)), F.col("lang"), ["doc_id"])
+    return sinks.instructions(table(spark, d, "documents").join(good, "doc_id"), F.concat(F.lit("Extract the facts of "), "source"), F.col("text"), F.col("lang"), ["doc_id"])
 
 
 @query("export_qa_pairs", """WITH q AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next, role FROM conversations),

@@ -102,7 +102,7 @@ def alias_decisions(spark, d):
     return t.select("*", decision.alias("decision"), confidence.alias("confidence"))
 
 
-@query("keywords_ngram", """WITH t AS (SELECT item_id, left(text, 60) AS t FROM benchmark), r AS (SELECT item_id, unnest(regexp_extract_all(t, '[a-z]+')) AS r FROM t),
+@query("keywords_ngram", """WITH t AS (SELECT item_id, text AS t FROM benchmark), r AS (SELECT item_id, unnest(regexp_extract_all(t, '[a-z]+')) AS r FROM t),
  g AS (SELECT DISTINCT item_id, substring(r, CAST(i AS INT), CAST(n AS INT)) AS g FROM r, (SELECT unnest([2, 3, 4]) AS n) x, LATERAL (SELECT unnest(range(1, length(r) - n + 2)) AS i)),
  k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(g), g) AS k FROM g WHERE g NOT IN ('th', 'he')) SELECT item_id, list(g ORDER BY k) AS keywords FROM k WHERE k <= 20 GROUP BY 1""")
 def keywords_ngram(spark, d):
@@ -253,7 +253,7 @@ def smart_split(spark, d):
     return split.smart_split(table(spark, d, "documents"), "text", 1500, keep=["doc_id"])
 
 
-@query("index_items", "SELECT doc_id, doc_id * 10000 AS point_id, 0 AS split_index, left(text, 200) AS preview, CAST(length(text) AS INT) AS size FROM documents WHERE length(text) <= 50000")
+@query("index_items")
 def index_items(spark, d):
     return extract.index_items(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
 
