@@ -14,8 +14,8 @@ other, those of one id and other texts are judged each by itself; the empty tabl
    then appended as a run of their own; more than MAX_RUNS runs are compacted into one.
 4. Covered words are dropped from the whole text.
 
-Hashes have 64 bits and the check hash as many more.  A passage that any number of documents share is one key a
-window, aggregated before it is shuffled.
+Hashes have 64 bits and the check hash as many more.  A passage that any number of documents share is one row a
+window and task before it is dealt; its rows stay where they are, and what the index tells of it is broadcast to them.
 """
 
 from __future__ import annotations
@@ -164,19 +164,26 @@ class WindowIndex:
     def __init__(self, cuts: Cuts):
         self.cuts, self.runs = cuts, []
 
-    def match(self, batch: DataFrame) -> DataFrame:
-        """batch (h1, h2, _id, ...) with first: the smallest id that has the window, in the batch or in any run.
+    def firsts(self, batch: DataFrame) -> DataFrame:
+        """The windows of a batch (h1, h2), each once: the smallest id that has it (first) and how many rows (n)."""
+        return self.cuts.cut(batch.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")))
 
-        The batch is dealt by h1 once: its own smallest ids and the merge-join with each run need no other shuffle.
+    def match(self, batch: DataFrame, firsts: DataFrame) -> DataFrame:
+        """The rows of batch (h1, h2, _id, ...) whose window a smaller id has, in the batch or in any run.
+
+        Windows are aggregated before they are dealt and merge-joined with each run; what they find goes back to the
+        rows by h1, windows with many rows apart.
         """
-        out = batch.repartition(partitions(self.cuts.spark), "h1").withColumn("first", F.min("_id").over(Window.partitionBy("h1", "h2")))
+        out = firsts.withColumn("low", F.col("first"))
         for run in self.runs:
             old = run.select("h1", F.struct("h2", F.col("first").alias("id")).alias("_old"))
             out = out.hint("merge").join(old, "h1", "left")
             # verified by the check hash; a run has a row for each check hash of a hash
             hit = F.when(F.col("h2") == F.col("_old.h2"), F.col("_old.id"))
-            out = out.withColumn("first", F.least("first", hit)).drop("_old")
-        return out
+            out = out.withColumn("low", F.least("low", hit)).drop("_old")
+        seen = out.where((F.col("n") > 1) | (F.col("low") < F.col("first"))).groupBy("h1").agg(F.collect_set(F.struct("h2", "low")).alias("w"), F.sum("n").alias("n"))
+        rows = lookup_join(batch, self.cuts.cut(seen), "h1", "n").where("w IS NOT NULL")
+        return rows.where(F.exists("w", lambda x: (x["h2"] == F.col("h2")) & (x["low"] < F.col("_id")))).drop("w", "n")
 
     def append(self, firsts: DataFrame) -> None:
         """firsts (h1, h2, first), one row a window, as a run of its own."""
@@ -232,12 +239,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for low, high in zip(edges, edges[1:], strict=False):
         batch = found if low is None else found.where(F.col("_id") > low)
         batch = batch if high is None else batch.where(F.col("_id") <= high)
-        now = index.match(batch)
-        hit = cuts.cut(now.where(F.col("_id") > F.col("first")).select("_id", "s1", "pos"))
+        firsts = index.firsts(batch)
+        hit = cuts.cut(index.match(batch, firsts).select("_id", "s1", "pos"))
         covered = hit if covered is None else covered.unionByName(hit)
         if high is not None:
-            index.append(batch.groupBy("h1", "h2").agg(F.min("_id").alias("first")))
+            index.append(firsts.select("h1", "h2", "first"))
             index.compact()
+        cuts.drop(firsts)
     where = covered.groupBy("_id", "s1").agg(F.collect_list("pos").alias("pos")).withColumn("gone", F.lit(False))
     where = where.unionByName(gone.withColumn("gone", F.lit(True)).withColumn("pos", F.array().cast("array<int>")))
     some, others = _marked(texts, cuts.cut(marks(where)))
