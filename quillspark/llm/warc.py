@@ -5,31 +5,38 @@ with equal payloads of at least `dedup_from` bytes the one with the largest id i
 smaller payloads are all responses.  A revisit holds the HTTP head alone, and names the response and the payload's
 digest and length.  A null html is an empty payload; rows repeated with the id that stays are all responses.
 
-Reading.  A file's blocks each look for the magic and emit, for every place where a record head can be read, the
-offset and that of its successor (head + content length + two line ends).  A magic inside a payload gives such a
-candidate as well.  Pointer jumping from offset 0 (each step doubles the length of the known chain) marks the
-candidates that the chain reaches; only these are records.  A chain that ends before the file does raises.  Each
-payload's digest is checked against its head.  A file is one task's work, so ROLL bounds its memory.
+Reading.  Spark splits the files into ranges at the magic of a record (WARC/1.), by its text source, so a task reads a
+range and no file is one task's work.  Each piece from one magic to the next is a candidate: the task tells its place
+in the range, where its record would end (head, content length, two line ends), and the payload's digest where the
+piece is the whole record.  Places in the file come from the sizes of the ranges before.  A magic inside a payload gives
+such a candidate as well.  Candidates whose successor is the next one are linked in runs; the runs of all files are
+resolved by pointer jumping from offset 0: each round doubles the links followed, as joins of rows.  Only candidates
+that the chain reaches are records; a chain that ends before its file does raises.  Records that hold a magic are put
+together from their pieces by a second scan.  Each payload's digest (hex or base32) is checked against its head.
+
+Heads of WARC/1.0 and 1.1 are read, field names in any case; .gz files are read whole, as gzip has no ranges.  Records of
+other types are passed over; a revisit's payload length is what X-Payload-Length says, else null.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, Cuts, shared_dir
+from quillspark.llm.common import NO_ID, Cuts, lookup_join, shared_dir
 
-ROLL, BLOCK, DEDUP_FROM = 16 << 20, 1 << 20, 1000
+ROLL, DEDUP_FROM = 16 << 20, 1000
 #: Revisits up to which they are broadcast while writing; beyond, they are joined by shuffle.
 BROADCAST_REVISITS = 500_000
-MAGIC = b"WARC/1.1\r\n"
-_FIELD = re.compile(rb"\r\n([A-Za-z-]+): *([^\r\n]*)")
+#: What all records begin with; pieces are what stands between.
+MAGIC = "WARC/1."
+_FIELD = re.compile(rb"\r\n([A-Za-z-]+):[ \t]*([^\r\n]*)")
 _EOL = "\r\n"
 
 
@@ -42,8 +49,6 @@ def records(pages: DataFrame, id_col: str, url_col: str, html_col: str, dedup_fr
     large = base.where(F.col("n") >= dedup_from).select("_id", "digest", "n")
     groups = large.groupBy("digest", "n").agg(F.max("_id").alias("refers"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # all but the largest of each group revisit it; the groups are joined by digest, hot ones apart
-    from quillspark.llm.common import lookup_join
-
     groups = cuts.cut(groups.select("digest", "refers", "size"))
     revisits = lookup_join(large.select("_id", "digest"), groups, "digest", "size").where(F.col("_id") < F.col("refers")).select("_id", "digest", "refers").distinct()
     revisits = cuts.cut(revisits)
@@ -73,87 +78,157 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows.select("record").write.option("lineSep", _EOL + _EOL).option("maxRecordsPerFile", per_file).text(path)
 
 
-def candidates(raw: bytes, start: int, stop: int) -> tuple[list[int], list[int], list[int]]:
-    """Of one block: offsets where a record head can be read, the offsets after it and after its record."""
-    off, body, succ = [], [], []
-    at = raw.find(MAGIC, start, stop + len(MAGIC) - 1)
-    while at >= 0:
-        end = raw.find(b"\r\n\r\n", at)
-        if end >= 0:
-            size = re.search(rb"\r\nContent-Length: *(\d{1,18})(?=\r\n)", raw[at : end + 2])
-            if size:
-                off.append(at)
-                body.append(end + 4)
-                succ.append(end + 4 + int(size[1]) + 4)
-        at = raw.find(MAGIC, at + 1, stop + len(MAGIC) - 1)
-    return off, body, succ
-
-
-def chain(off: np.ndarray, succ: np.ndarray, size: int) -> np.ndarray:
-    """Which of the candidates (sorted) the chain from offset 0 reaches, by pointer jumping."""
-    n = len(off)
-    at = np.minimum(np.searchsorted(off, succ), n - 1) if n else np.empty(0, np.int64)
-    end = n  # where a chain stops
-    jump = np.append(np.where(off[at] == succ, at, end), end) if n else np.array([end])
-    last = np.append(succ, -1)
-    known = np.zeros(n + 1, bool)
-    if n and off[0] == 0:
-        known[0] = True
-    while True:
-        more = known.copy()
-        more[jump[known]] = True
-        more[end] = False
-        if (more == known).all():
-            break
-        known, jump = more, jump[jump]
-        # jump leads 2, 4, 8, ... records on; each round marks those that many after every known one
-    reached = known[:n]
-    if size and (not reached.any() or int(last[:n][reached].max()) != size):
-        raise ValueError("the chain of records ends before the file does")
-    return reached
-
-
-def parse(raw: bytes):
-    """(fields, block) of each record of a file."""
-    off, body, succ = [], [], []
-    for start in range(0, len(raw), BLOCK):
-        for to, got in zip((off, body, succ), candidates(raw, start, min(start + BLOCK, len(raw))), strict=True):
-            to += got
-    keep = chain(np.array(off, np.int64), np.array(succ, np.int64), len(raw))
-    for i in np.flatnonzero(keep).tolist():
-        yield dict(_FIELD.findall(raw[off[i] : body[i] - 2])), raw[body[i] : succ[i] - 4]
-
-
 def _name(x: bytes | None) -> int | None:
     x = (x or b"").removeprefix(b"<urn:page:").removesuffix(b">")
-    return int(x) if x and x != b"null" else None
-
-
-def _read(batches):
-    kind = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    return int(x) if re.fullmatch(rb"-?\d{1,19}", x) else None
+
+
+def head(piece: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
+    """Fields of a record's head, the size of the head and that of the record with its two line ends; None: no head.
+
+    A piece begins behind the magic, sizes count from the magic on.
+    """
+    end = piece.find(b"\r\n\r\n")
+    if end < 0 or piece[:3] not in (b"0\r\n", b"1\r\n"):
+        return None
+    fields = {k.lower(): v for k, v in _FIELD.findall(piece[: end + 2])}
+    size = fields.get(b"content-length", b"").strip()
+    if not re.fullmatch(rb"\d{1,18}", size):
+        return None
+    body = len(MAGIC) + end + 4
+    return fields, body, body + int(size) + 4
+
+
+def record(fields: dict[bytes, bytes], block: bytes) -> tuple | None:
+    """(page, bytes, hex digest, type, refers to) of a record, its payload checked; None for records of other types."""
+    kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
+    if kind not in ("response", "revisit"):
+        return None
+    told = fields.get(b"warc-payload-digest", b"").split(b":")[-1].decode("ascii", "replace")
+    told = base64.b32decode(told).hex() if re.fullmatch("[A-Z2-7]{32}", told) else told.lower() or None
+    size = fields.get(b"x-payload-length", b"").strip()
+    size = int(size) if size.isdigit() else None
+    if kind == "response":
+        payload = block[block.index(b"\r\n\r\n") + 4 :]
+        digest = hashlib.sha1(payload).hexdigest()
+        if told not in (None, digest) or size not in (None, len(payload)):
+            raise ValueError("a payload differs from its digest")
+        told, size = digest, len(payload)
+    return _name(fields.get(b"warc-record-id")), size, told, kind, _name(fields.get(b"warc-refers-to"))
+
+
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_PIECE = pa.schema([("file", pa.string()), ("part", pa.int64()), ("i", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("need", pa.int64()), ("whole", pa.bool_()), ("r", pa.struct([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))])
+
+
+def _pieces(batches):
+    """Each piece of a range: its number, place (bytes before it in the range) and size, and what its head says."""
+    now, i, at = None, 0, 0
+    for batch in batches:
+        rows = []
+        for file, part, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (file, part) != now:
+                now, i, at = (file, part), 0, 0
+            raw = value.as_py()
+            size = len(raw) + len(MAGIC)
+            got = head(raw) if part or i else None  # what stands before the first magic is no record
+            whole, told = got is not None and size == got[2] and raw.endswith(b"\r\n\r\n"), None
+            if whole:
+                try:
+                    told = record(got[0], raw[got[1] - len(MAGIC) : -4])
+                except ValueError:  # no record, or a bad one: that shows if the chain reaches it
+                    whole = False
+            rows.append((file, part, i, at, size, got and got[2], whole, told and dict(zip(_PIECE.field("r").type.names, told, strict=True))))
+            i, at = i + 1, at + size
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_PIECE)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _PIECE, strict=True)], schema=_PIECE)
+
+
+def _numbered(batches):
+    now, i = None, 0
     for batch in batches:
-        for content in batch.column(0):
-            rows = []
-            for fields, block in parse(content.as_py()):
-                told = fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
-                size = int(fields[b"X-Payload-Length"])
-                if fields[b"WARC-Type"] == b"response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    if hashlib.sha1(payload).hexdigest() != told or len(payload) != size:
-                        raise ValueError("a payload differs from its digest")
-                rows.append((_name(fields[b"WARC-Record-ID"]), size, told, fields[b"WARC-Type"].decode(), _name(fields.get(b"WARC-Refers-To"))))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], schema=kind)
+        out = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            now, i = (key, 0) if key != now else (now, i + 1)
+            out.append(i)
+        yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.int64()), batch.column(2)], names=["file", "part", "i", "value"])
+
+
+def _joined(key, pdf):
+    import pandas as pd
+
+    pdf = pdf.sort_values("off")
+    raw = MAGIC.encode().join(pdf["value"])
+    fields, body, _ = head(raw)
+    if not raw.endswith(b"\r\n\r\n"):
+        raise ValueError("a record does not end with two line ends")
+    told = record(fields, raw[body - len(MAGIC) : -4])
+    return pd.DataFrame([told] if told else [], columns=[c.split()[0] for c in _RECORD.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+
+
+def reached(cuts: Cuts, runs: DataFrame) -> DataFrame:
+    """runs (file, off, to): those that a file's chain from offset 0 reaches, by pointer jumping."""
+    known = cuts.cut(runs.where("off = 0").select("file", "off"))
+    jump = cuts.cut(runs.where("to IS NOT NULL").select("file", "off", "to"))
+    while not jump.isEmpty():
+        more = cuts.cut(known.unionByName(known.join(jump, ["file", "off"]).select("file", F.col("to").alias("off"))).distinct())
+        ahead = jump.select("file", F.col("off").alias("to"), F.col("to").alias("on"))
+        longer = cuts.cut(jump.join(ahead, ["file", "to"]).select("file", "off", F.col("on").alias("to")))
+        cuts.drop(known, jump)
+        known, jump = more, longer
+    return known
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """One row a response or revisit: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    cuts = Cuts(spark)
+    text = spark.read.option("lineSep", MAGIC).text(path)
+    raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("value").cast("binary").alias("value"))
+    kind = f"file string, part long, i long, at long, size long, need long, whole boolean, r struct<{_RECORD.replace(' ', ':').replace(',:', ',')}>"
+    p = cuts.cut(raw.mapInArrow(_pieces, kind))
+    # places in the file: ranges are few, and their sizes are summed in order; the first piece is what stands before all magics
+    n = p.groupBy("file", "part").agg(F.sum("size").alias("size"), F.min_by("at", F.when((F.col("part") > 0) | (F.col("i") > 0), F.col("i"))).alias("first"))
+    w = Window.partitionBy("file").orderBy("part")
+    base = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC)
+    n = n.withColumn("base", base).withColumn("next", F.min(F.col("base") + F.col("first")).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    ends = F.sum("size").over(Window.partitionBy("file")) - len(MAGIC)
+    n = cuts.cut(n.withColumn("end", ends))
+    p = p.join(n.select("file", "part", "base", "next", "end"), ["file", "part"]).withColumn("off", F.col("base") + F.col("at"))
+    if not p.where("part = 0 AND i = 0 AND size > length('WARC/1.')").isEmpty():
+        raise ValueError("a file does not begin with a record")
+    p = p.where("part > 0 OR i > 0")
+    follows = F.coalesce(F.lead("off").over(Window.partitionBy("file", "part").orderBy("i")), "next")
+    p = cuts.cut(p.withColumn("to", F.col("off") + F.col("need")).withColumn("follows", follows))
+    # runs of candidates linked one to the next, cut at ranges and where a link comes from elsewhere
+    odd = cuts.cut(p.where("to IS NOT NULL AND to <> coalesce(follows, end)").select("file", F.col("to").alias("off")).distinct().withColumn("hit", F.lit(True)))
+    in_part = Window.partitionBy("file", "part").orderBy("i")
+    p = p.join(odd, ["file", "off"], "left")
+    before = F.lag("to").over(in_part)
+    starts = F.col("hit").isNotNull() | before.isNull() | (before != F.col("off"))
+    p = cuts.cut(p.withColumn("starts", starts).withColumn("run", F.max(F.when(F.col("starts"), F.col("off"))).over(in_part.rowsBetween(Window.unboundedPreceding, 0))))
+    runs = p.groupBy("file", F.col("run").alias("off")).agg(F.max_by("to", "off").alias("to"))
+    known = reached(cuts, cuts.cut(runs)).withColumnRenamed("off", "run")
+    good = cuts.cut(p.join(known, ["file", "run"], "left_semi"))
+    got = good.groupBy("file").agg(F.max("to").alias("last"))
+    short = n.where("part = 0").join(got, "file", "left").where("end > 0 AND coalesce(last, 0) <> end")
+    if not short.isEmpty():
+        raise ValueError("the chain of records ends before the file does")
+    out = good.where("r IS NOT NULL").select("r.*")
+    cut_up = good.where("NOT whole").select("file", F.col("off").alias("start"), "to")
+    if not cut_up.isEmpty():
+        # pieces of records that hold a magic: few, found by their places and read again
+        loose = p.select("file", "part", "i", "off").join(cut_up, "file").where("off >= start AND off < to").select("file", "part", "i", "off", "start")
+        again = raw.mapInArrow(_numbered, "file string, part long, i long, value binary").join(cuts.cut(loose), ["file", "part", "i"])
+        out = out.unionByName(again.groupBy("file", "start").applyInPandas(_joined, _RECORD))
+    return cuts.cut(out)
 
 
 def write_and_read(pages: DataFrame, dedup_from: int = DEDUP_FROM, **cols) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, dedup_from=dedup_from, **cols)
-    return read(spark, path)
+    got = read(spark, path)
+    cuts = Cuts(spark)
+    cuts.paths[id(got)] = path
+    cuts.drop(got)  # the archive is read; its rows are a table of their own
+    return got
