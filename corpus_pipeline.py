@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  A
 stage works on all that its predecessor kept.  run() writes each stage's result as Parquet to the shared folder and
 reads it again as the next one's docs.
+
+Null texts and texts without a letter are no language and go with language ID; a null language or source is a value like
+others; rows may repeat, with one id or without any, and are told apart in each stage; an empty table gives an empty
+result in every stage; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -20,32 +24,48 @@ from quillspark.llm.sentencepieces import encode
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence stay."""
+    """Documents whose language is told with confidence stay; null texts and texts without a letter go."""
     cols = docs.columns
     got = identify(docs, keep=tuple(cols))
     return got.where(~F.col("rejected")).select(*[F.col(f"k_{c}").alias(c) for c in cols])
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in kept (ids without repeats), a missing id too."""
-    cols = docs.columns
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with _row, an id that no two rows share: doc_id, but for missing and repeated ids.
+
+    Rows of these get numbers from the end of all numbers on, so they come after the others; a table is written then,
+    since such numbers must not change.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    ids = kept.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_keep")).distinct()
-    return docs.withColumn("_key", key).join(ids, F.col("_key") == F.col("_keep"), "left_semi").select(*cols)
+    many = docs.select(key.alias("_row")).groupBy("_row").count().where((F.col("count") > 1) | (F.col("_row") == NO_ID)).select("_row")
+    keyed = docs.withColumn("_row", key)
+    if many.isEmpty():
+        return keyed
+    cuts = Cuts(docs.sparkSession)
+    many = cuts.cut(many.withColumn("_many", F.lit(True)))
+    few = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    return cuts.cut(keyed.join(few, "_row", "left").withColumn("_row", F.when(F.col("_many"), NO_ID - 1 - F.monotonically_increasing_id()).otherwise(F.col("_row"))).drop("_many"))
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of rows (with _row) those that kept has, without _row."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts (white space apart) one stays: that of most characters, of these the smallest id."""
+    rows = _rows(docs)
+    return _only(rows, exact_dedup(rows, id_col="_row").where("kept")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the document of smallest id stays."""
-    return _only(docs, jaccard_components(docs, k=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    rows = _rows(docs)
+    return _only(rows, jaccard_components(rows, id_col="_row", k=5, percent=80).where("_row = component_id")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a part of a repetition is its first words."""
+    """Each document as often as the mix takes it; a part of a repetition is its first words (the mix asks for so many)."""
     return mixed_documents(docs)
 
 
@@ -56,6 +76,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources to target weights", mixing), ("SentencePiece encoding and decoding", sentencepiece)]
 
+#: Missing and repeated ids up to which they are broadcast; beyond, rows meet them by shuffle.
+BROADCAST_IDS = 500_000
 #: Language ID and SentencePiece cannot be said in SQL.
 ORACLE_SQL = None
 
