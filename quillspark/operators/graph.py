@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.sinks import checkpointed
+
 
 def edges(facts: DataFrame, nodes: DataFrame, on: str = "book", name: str = "name", node: str = "node_id") -> DataFrame:
     """Facts (source, target) between nodes; a fact with an unknown end makes no edge."""
@@ -68,18 +70,25 @@ def direct_clusters(pairs: DataFrame, names: DataFrame, on: str) -> DataFrame:
     return left.groupBy(on).cogroup(right.groupBy(on)).applyInPandas(run, f"{on} {kind}, name string, canonical string")
 
 
-def clusters(pairs: DataFrame, names: DataFrame, on: str, rounds: int = 20) -> DataFrame:
-    """Transitive profiles: smallest name reachable by MERGE pairs, by label spreading with jumps, until nothing moves."""
-    both = pairs.select(on, F.col("name_a").alias("name"), F.col("name_b").alias("other")).unionByName(pairs.select(on, F.col("name_b").alias("name"), F.col("name_a").alias("other"))).distinct()
-    lab = names.select(on, "name").distinct().withColumn("canonical", F.col("name"))
-    for _ in range(rounds):
+def clusters(pairs: DataFrame, names: DataFrame, on: str) -> DataFrame:
+    """Transitive profiles: smallest name reachable by MERGE pairs.
+
+    Labels spread to neighbours, then each name takes its label's label (pointer jumping), until nothing moves; so a
+    chain of n names takes about log n rounds.
+    """
+    both = pairs.select(on, F.col("name_a").alias("name"), F.col("name_b").alias("other")).unionByName(pairs.select(on, F.col("name_b").alias("name"), F.col("name_a").alias("other")))
+    both = checkpointed(both.distinct())
+    lab = checkpointed(names.select(on, "name").distinct().withColumn("canonical", F.col("name")))
+    while True:
         seen = both.join(lab.select(on, F.col("name").alias("other"), "canonical"), [on, "other"]).groupBy(on, "name").agg(F.min("canonical").alias("_m"))
-        new = lab.join(seen, [on, "name"], "left").select(on, "name", F.least("canonical", F.coalesce("_m", "canonical")).alias("canonical"), (F.coalesce("_m", "canonical") < F.col("canonical")).alias("moved"))
-        new = new.checkpoint() if names.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.cache()
-        if new.where("moved").isEmpty():
-            break
-        lab = new.drop("moved")
-    return lab
+        new = lab.join(seen, [on, "name"], "left").select(on, "name", F.col("canonical").alias("_old"), F.least("canonical", F.coalesce("_m", "canonical")).alias("canonical"))
+        # a label that a neighbour has taken is led on as well
+        up = new.groupBy(on, F.col("_old").alias("_new")).agg(F.min("canonical").alias("_up"))
+        new = new.withColumnRenamed("canonical", "_new").join(up, [on, "_new"], "left").select(on, "name", "_old", F.least("_new", F.coalesce("_up", "_new")).alias("canonical"))
+        new = checkpointed(new)
+        if new.where("canonical < _old").isEmpty():
+            return new.drop("_old")
+        lab = new.drop("_old")
 
 
 def last_transitions(df: DataFrame, keys: list[str], order: list[str], state: str, legal: list[tuple[str, str]]) -> DataFrame:

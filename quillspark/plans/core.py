@@ -32,12 +32,6 @@ def scan_point(spark, d):
     return T.scan(table(spark, d, "orders"), F.col("o_custkey") == 42, ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("src_upload_concat")
-def src_upload_concat(spark, d):
-    # the table's own files as an upload: names and sizes of what was read, per book
-    return T.upload(spark, f"{d}/region.parquet", F.lit("region")).select("book", (F.char_length("text") > 0).alias("has_text"))
-
-
 # --- filters
 
 

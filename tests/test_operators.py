@@ -125,3 +125,26 @@ def test_every_query_has_columns(spark):
 
     q, sql = registry.queries(), registry.oracle_sql()
     assert len(q) > 100 and set(sql) <= set(q)
+
+
+def test_clusters_of_a_long_chain(spark):
+    names = [f"n{i:04d}" for i in range(101)]  # more than 20 rounds of single steps
+    rng = random.Random(1)
+    steps = [("b", x, y) for x, y in zip(names, names[1:], strict=False)]
+    zigzag = rng.sample(names, len(names))
+    steps += [("z", x, y) for x, y in zip(zigzag, zigzag[1:], strict=False)]
+    pairs = spark.createDataFrame(steps, "book string, name_a string, name_b string")
+    every = spark.createDataFrame([(b, n) for b in ("b", "z") for n in [*names, "alone"]], "book string, name string")
+    got = {(r.book, r.name): r.canonical for r in graph.clusters(pairs, every, "book").collect()}
+    assert got == {(b, n): "alone" if n == "alone" else "n0000" for b in ("b", "z") for n in [*names, "alone"]}
+
+
+def test_dense_topk_in_parts(spark, monkeypatch):
+    from quillspark.operators import retrieve
+
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, embedding array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    run = lambda: sorted(map(tuple, retrieve.dense_topk(v, q, "id", "query_id", "embedding", 3).select("query_id", "id", "rank").collect()))
+    want = run()
+    monkeypatch.setattr(retrieve, "SMALL", 15)
+    assert run() == want and len(want) == 120
