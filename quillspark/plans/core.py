@@ -155,19 +155,31 @@ def delete_by_key_anti(spark, d):
     return rel.delete_by(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), gone, ["l_orderkey"])
 
 
-@query("run_trace", "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS steps, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') AS model_calls, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') AS tool_calls FROM orders")
+#: What a run has, by the lines that stand for it.
+_TRACE = {"steps": "l_returnflag = 'R'", "model_calls": "l_returnflag = 'A'", "tool_calls": "l_returnflag = 'N'", "retrievals": "l_linestatus = 'F'", "patches": "l_quantity > 40"}
+
+
+@query("run_trace", "SELECT o_orderkey, " + ", ".join(f"(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND {c}) AS {k}, (SELECT coalesce(list(CAST(l_linenumber AS BIGINT) ORDER BY l_linenumber), []) FROM lineitem WHERE l_orderkey = o_orderkey AND {c}) AS {k}_list" for k, c in _TRACE.items()) + " FROM orders")
 def run_trace(spark, d):
-    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    n = rel.counts_of({"steps": li.where("l_returnflag = 'R'"), "model_calls": li.where("l_returnflag = 'A'"), "tool_calls": li.where("l_returnflag = 'N'")}, "o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey").join(n, "o_orderkey", "left").na.fill(0)
+    """A run with its steps, calls, retrievals and patches: their numbers and, in order, which; one pass over the lines."""
+    kinds = [F.when(F.expr(c), F.col("l_linenumber").cast("long")) for c in _TRACE.values()]
+    aggs = [a for k, x in zip(_TRACE, kinds, strict=True) for a in (F.count(x).alias(k), F.array_sort(F.collect_list(x)).alias(f"{k}_list"))]
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*aggs)
+    none = F.array().cast("array<bigint>")
+    cols = [c for k in _TRACE for c in (F.coalesce(k, F.lit(0)).alias(k), F.coalesce(f"{k}_list", none).alias(f"{k}_list"))]
+    return table(spark, d, "orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", *cols)
 
 
 # --- aggregates
 
 
-@query("book_detail_counts", with_views("chapters", "chunks", "mentions") + "SELECT c.book, c.n AS chapters, k.n AS chunks, coalesce(m.n, 0) AS mentions FROM (SELECT book, count(*) AS n FROM chapters GROUP BY 1) c JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY 1) k USING (book) LEFT JOIN (SELECT book, count(*) AS n FROM mentions GROUP BY 1) m USING (book)")
+@query("book_detail_counts", with_views("chapters", "chunks", "mentions") + """, e AS (SELECT DISTINCT book, name FROM mentions), r AS (SELECT DISTINCT chapter_id, book, name FROM mentions)
+SELECT book, count(*) FILTER (WHERE t = 1) AS chapters, count(*) FILTER (WHERE t = 2) AS chunks, count(*) FILTER (WHERE t = 3) AS mentions, count(*) FILTER (WHERE t = 4) AS entities, count(*) FILTER (WHERE t = 5) AS characters, count(*) FILTER (WHERE t = 6) AS documents
+ FROM (SELECT book, 1 AS t FROM chapters UNION ALL SELECT book, 2 FROM chunks UNION ALL SELECT book, 3 FROM mentions UNION ALL SELECT book, 4 FROM e UNION ALL SELECT book, 5 FROM r UNION ALL SELECT source, 6 FROM documents) GROUP BY 1""")
 def book_detail_counts(spark, d):
-    return rel.counts_of({"chapters": T.chapters(spark, d), "chunks": T.chunks(spark, d), "mentions": T.mentions(spark, d)}, "book")
+    m = T.mentions(spark, d).select("book", "chapter_id", "name")
+    documents = table(spark, d, "documents").select(F.col("source").alias("book"))
+    return rel.counts_of({"chapters": T.chapters(spark, d), "chunks": T.chunks(spark, d), "mentions": m, "entities": m.select("book", "name").distinct(), "characters": m.distinct(), "documents": documents}, "book")
 
 
 @query("count_by_key", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
