@@ -150,13 +150,7 @@ def resolve_pronouns(question: str, target: str, pronouns: Sequence[str] = V.TAR
 
 def polish(text: str, light: bool = False) -> Column:
     """An answer without tags, internal ids, doubled punctuation and white space."""
-    steps = [(r"(?is)<cite\b[^>]*>.*?</cite>", ""), (r"(?i)<cite\b[^>]*/?>", "")]
-    if not light:
-        steps += [(r"\[chunk_\d+\]", ""), (r"\brun_\d+\b", ""), (r"\bid[:：]\s*\d+", ""), (r"\bchunk\s*#?\s*\d+\b", "")]
-    steps += [("。{2,}", "。"), ("？{2,}", "？"), ("！{2,}", "！"), ("[；;][。.]", "。"), ("[，,][。.]", "。"), ("[。.]，", "。")]
-    steps += [(" {2,}", " "), (r"\n{3,}", "\n\n"), (r" \n", "\n"), (r"\n ", "\n"), (r"^\s+|\s+$", "")]
-    if not light:
-        steps.append((r"[。，；：、？！.,;:!? \t\n\r]+$", ""))
+    steps = V.POLISH_TAGS + V.POLISH_MARKS if light else V.POLISH_TAGS + V.POLISH_IDS + V.POLISH_MARKS + V.POLISH_END
     return reduce(lambda c, s: F.regexp_replace(c, *s), steps, _c(text))
 
 

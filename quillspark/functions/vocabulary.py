@@ -114,3 +114,21 @@ CRITICAL = ("entity_split", "entity_merge")
 ZERO_ID_SOURCES = ("entity", "relation", "event", "citation", "chapter_fact")
 EVIDENCE_LEVELS = {"EXACT": "DIRECT", "DIRECT": "DIRECT", "NEAR": "NEAR", "INFERRED": "INFERRED"}
 SOURCE_TYPES = {"entity_profile": "entity", "relation_fact": "relation", "chapter_fact": "chapter_fact", "chunk": "chunk", "relation": "relation", "event": "event", "entity": "entity", "citation": "citation"}
+
+# What an answer is cleaned of, as patterns and what stands in their place, in order.
+POLISH_TAGS = ((r"(?is)<cite\b[^>]*>.*?</cite>", ""), (r"(?i)<cite\b[^>]*/?>", ""))
+POLISH_IDS = ((r"\[chunk_\d+\]", ""), (r"\brun_\d+\b", ""), (r"\bid[:：]\s*\d+", ""), (r"\bchunk\s*#?\s*\d+\b", ""))
+POLISH_MARKS = (
+    ("。{2,}", "。"),
+    ("？{2,}", "？"),
+    ("！{2,}", "！"),
+    ("[；;][。.]", "。"),
+    ("[，,][。.]", "。"),
+    ("[。.]，", "。"),
+    (" {2,}", " "),
+    (r"\n{3,}", "\n\n"),
+    (r" \n", "\n"),
+    (r"\n ", "\n"),
+    (r"^\s+|\s+$", ""),
+)
+POLISH_END = ((r"[。，；：、？！.,;:!? \t\n\r]+$", ""),)

@@ -170,7 +170,15 @@ def answer_audit(spark, d):
     return t.select("event_id", *[c.alias(n) for n, c in R.audit("a").items()])
 
 
-@query("answer_polish")
+def _replaced_sql(steps) -> str:
+    """a after all replacements, one in the other."""
+    out = "a"
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, {_q(pattern)}, {_q(by)}, 'g')"
+    return out
+
+
+@query("answer_polish", f"WITH t AS (SELECT event_id, {_pick_sql(_ANSWERS, 'event_id')} AS a FROM events) SELECT event_id, {_replaced_sql(V.POLISH_TAGS + V.POLISH_IDS + V.POLISH_MARKS + V.POLISH_END)} AS polished, {_replaced_sql(V.POLISH_TAGS + V.POLISH_MARKS)} AS light FROM t")
 def answer_polish(spark, d):
     t = table(spark, d, "events").select("event_id", _pick(_ANSWERS, "event_id").alias("a"))
     return t.select("event_id", R.polish("a").alias("polished"), R.polish("a", light=True).alias("light"))
