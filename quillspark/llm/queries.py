@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 from quillspark.llm.embedding_dedup import embedding_dedup
@@ -12,6 +13,7 @@ from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.html_text import extract_pages
 from quillspark.llm.jaccard_join import jaccard_components
 from quillspark.llm.langid import identify
+from quillspark.llm.line_dedup import line_dedup
 from quillspark.llm.mixing import mix
 from quillspark.llm.sentencepieces import encode
 from quillspark.llm.substring_dedup import substring_dedup
@@ -62,7 +64,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_language_id, op4_mixing, op5_url_filter, op6_warc, op7_html_extraction, op8_embedding_dedup, op9_jaccard_join, op10_exact_dedup)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_language_id, op4_mixing, op5_url_filter, op6_warc, op7_html_extraction, op8_embedding_dedup, op9_jaccard_join, op10_exact_dedup, op11_line_dedup)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -152,4 +159,11 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text,
  w AS (SELECT doc_id, sha256(n) AS text_sha256,
         first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, i, l[i] AS line, len(l) AS n, translate(trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+ k AS (SELECT key, max(doc_id) AS top FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ j AS (SELECT l.*, k.top IS NOT NULL AND doc_id < k.top AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
 }
