@@ -7,35 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries up to which their vectors are broadcast.
-SMALL = 10_000
+from quillspark.operators.vector_index import exact_topk
 
+#: Numbers in the vectors of a block of queries.
+SMALL = 2_000_000
 
-def unit(col: str) -> Column:
-    v = F.transform(F.col(col), lambda x: x.cast("double"))
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / n)
 
-
-def dense_topk(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, k: int, block: int = 64, salt: int = 0) -> DataFrame:
-    """The k items nearest to each query by cosine.
-
-    Queries are a stated set, folded into one broadcast array a block; items are read once.  Each task keeps its own
-    k best of each query before anything is shuffled (the window's group limit), so k rows a task and query travel.
-    More than SMALL queries are worked in parts of about SMALL, each broadcast; items are read once a part.
-    """
-    n = queries.count()
-    if n > SMALL:
-        parts = -(-n // SMALL) + 1
-        part = F.pmod(F.xxhash64(query_id, F.lit(salt)), F.lit(parts))
-        return reduce(DataFrame.unionByName, [dense_topk(items, queries.where(part == i), item_id, query_id, vector, k, block, salt + 1) for i in range(parts)])
-    q = queries.select(F.col(query_id).alias("_q"), unit(vector).alias("_u"))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(block))).groupBy("_b").agg(F.collect_list(F.struct("_q", "_u")).alias("_all"))
-    pairs = items.select(F.col(item_id).alias("_i"), unit(vector).alias("_v")).join(F.broadcast(q)).select("_i", "_v", F.explode("_all").alias("_x"))
-    score = F.aggregate(F.zip_with("_v", "_x._u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    s = pairs.select(F.col("_x._q").alias(query_id), F.col("_i").alias(item_id), F.round(score, 6).alias("score"))
-    n = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
-    return s.withColumn("rank", n.cast("int")).where(F.col("rank") <= k)
+def dense_topk(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, k: int) -> DataFrame:
+    """The k items nearest to each query by cosine: blocks of queries times batches of items, items read once a block."""
+    return exact_topk(items, queries, item_id, query_id, vector, k, SMALL)
 
 
 def words_of(text: str, pattern: str = "[A-Za-z]+") -> Column:
