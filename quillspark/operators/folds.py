@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.keyed import KeyedTable
+
 IMPORTANCE = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
@@ -16,21 +18,61 @@ def importance_rank(col: str) -> Column:
     return out
 
 
-def halving_average(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """The fold (acc + x) / 2 over rows in order, in closed form: each row weighs half of the one after it.
+#: Rows further back than this weigh nothing in a double: 2**-1100 is 0.
+DEEP = 1100
+
 
-    A window ranks the rows (it spills, no array of a group is built) and a sum does the rest.
+def halvings(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """The step of the fold (acc + x) / 2 over a key's rows, in order, as one map acc -> acc / 2**n + b.
+
+    Gives keys, n (DEEP at most: beyond, acc weighs nothing), b and the first value.  Each row weighs half of the one
+    after it, so only the last DEEP of a key count: the window drops the others before anything is shuffled.
     """
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    weight = F.pow(F.lit(0.5), F.when(F.col("_back") == F.col("_n"), F.col("_n") - 1).otherwise(F.col("_back")))
-    return df.withColumn("_back", back).withColumn("_n", n).groupBy(*keys).agg(F.sum(F.col(value) * weight).alias(value))
+    deep = df.withColumn("_back", back).where(F.col("_back") <= DEEP)
+    return deep.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * F.pow(F.lit(0.5), "_back")).alias("b"), F.max_by(value, "_back").alias("first"))
+
+
+def halved(before: Column, n: str = "n", b: str = "b", first: str = "first") -> Column:
+    """A map of `halvings` applied to the value before; where there is none the first value is the start."""
+    left = F.pow(F.lit(0.5), F.col(n))
+    return F.when(F.col(n) >= DEEP, F.col(b)).otherwise(F.col(b) + F.coalesce(before, F.col(first)) * left)
+
+
+def halving_average(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """The fold (acc + x) / 2 over rows in order, from the first row on."""
+    return halvings(df, keys, order, value).select(*keys, halved(F.lit(None).cast("double")).alias(value))
+
+
+class RelationFacts:
+    """Relation facts kept up batch by batch, as accumulating upserts do: strength adds up, confidence is halved towards
+    each new mention, polarity and first chapter stay, the last chapter moves on.
+
+    A batch's mentions of a key become one map, whatever their number; a batch with a number is counted once.
+    """
+
+    def __init__(self, table: KeyedTable, order: list[str]):
+        self.table, self.order = table, order
+
+    def add(self, mentions: DataFrame, number: int | None = None) -> bool:
+        keys = self.table.keys
+        step = _spans(mentions, keys, self.order).join(halvings(mentions, keys, self.order, "confidence"), keys)
+        old = self.table.read().select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("strength", "polarity", "first_chapter", "last_chapter", "confidence")])
+        new = step.join(old, keys, "left").select(
+            *keys, (F.coalesce("o_strength", F.lit(0)) + F.col("strength")).alias("strength"), F.coalesce("o_polarity", "polarity").alias("polarity"),
+            F.coalesce("o_first_chapter", "first_chapter").alias("first_chapter"), F.greatest("o_last_chapter", "last_chapter").alias("last_chapter"), halved(F.col("o_confidence")).alias("confidence"),
+        )
+        return self.table.upsert(new, number=number)
+
+
+def _spans(m: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    first = F.struct(*order)
+    return m.groupBy(*keys).agg(F.count(F.lit(1)).alias("strength"), F.min_by("polarity", first).alias("polarity"), F.min_by("chapter_id", first).alias("first_chapter"), F.max("chapter_id").alias("last_chapter"))
 
 
 def relation_facts(m: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Relation mentions to facts: strength counts, confidence folds, polarity is the first, chapters span."""
-    rest = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("strength"), F.min_by("polarity", F.struct(*order)).alias("polarity"), F.min_by("chapter_id", F.struct(*order)).alias("first_chapter"), F.max("chapter_id").alias("last_chapter"))
-    return rest.join(halving_average(m, keys, order, "confidence"), keys)
+    return _spans(m, keys, order).join(halving_average(m, keys, order, "confidence"), keys)
 
 
 def entity_profiles(m: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

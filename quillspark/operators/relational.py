@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.sinks import checkpointed
+
 
 # --- predicates
 
@@ -121,6 +123,43 @@ def near_pairs(mentions: DataFrame, group: str = "chapter_id", name: str = "name
     return met.where("name_a < name_b").select(group, "name_a", "name_b").distinct().where(F.levenshtein("name_a", "name_b", 1) >= 0)
 
 
+def titled_pairs(mentions: DataFrame, titles: list[str], group: str = "chapter_id", name: str = "name") -> DataFrame:
+    """The pairs of name_pairs of which one holds the other and ends in a title where the other's length ends.
+
+    A name with a title holds at most len(title) + 1 stems of that length; stems meet names in an equi-join.
+    """
+    d = mentions.select(group, F.col(name).alias("name")).distinct()
+    n = F.char_length("name")
+
+    def stems(t: str):
+        parts = F.transform(F.sequence(F.lit(1), F.lit(len(t) + 1)), lambda i: F.substring(F.col("name"), i, n - len(t)))
+        return F.when(F.col("name").endswith(t) & (n > len(t)), parts)
+
+    long_ = d.select(group, F.col("name").alias("_long"), F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*map(stems, titles)))))).alias("name"))
+    met = long_.join(d, [group, "name"]).where("name <> _long")
+    return met.select(group, F.least("name", "_long").alias("name_a"), F.greatest("name", "_long").alias("name_b")).distinct()
+
+
+def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with the last value (not null) before each row of its key, in order; a key may hold all rows.
+
+    Rows are dealt by ranges of (keys, order) and kept so in a table; a window works within a range, and what a range
+    leaves to the next of the same key, one row a range, is sent along.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tails = ranged.groupBy(*keys, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_tail"))
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(across)).where("_carry IS NOT NULL")
+    carried = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_carry")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = ranged.withColumn("_near", F.last(value, ignorenulls=True).over(inside)).join(F.broadcast(carried), same, "left")  # a key and range: at most two keys a range
+    return both.select(*df.columns, F.coalesce("_near", "_carry").alias(out))
+
+
 def cooccurring(mentions: DataFrame, group: list[str], first: int = 10) -> DataFrame:
     """Pairs of names of one chunk: each of the first names with every later one, each unordered pair once."""
     a = mentions.where(F.col("pos") < first).select(*group, F.col("pos").alias("i"), F.col("name").alias("source"))

@@ -123,8 +123,8 @@ def index_upsert(spark, d):
     path = f"{sinks.shared_folder(spark)}/index-{uuid.uuid4().hex}"
     t = table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("book"), "doc_id", "lang", "text")
     sinks.rewrite(t, path)
-    sinks.rewrite(t.where(~F.col("lang").eqNullSafe("de")), path)
-    sinks.rewrite(t.where(~F.col("lang").eqNullSafe("de")), path)  # again: nothing changes
+    sinks.rewrite(t.where(~F.col("lang").eqNullSafe("de")), path, of=t)
+    sinks.rewrite(t.where(~F.col("lang").eqNullSafe("de")), path, of=t)  # again: nothing changes
     return spark.read.parquet(path).groupBy("book").agg(F.count(F.lit(1)).alias("items"), F.sum(F.char_length("text")).alias("size"))
 
 

@@ -87,10 +87,15 @@ _A = ("师父", "赵云", "张三丰", "宋江", "宋江", "李逵", "林冲", "
 _B = ("小姐", "钱云", "张三李", "宋江", "宋汪", "李逵先生", "林冲之子孙", "abce", "abxyz", "wangx")
 
 
-def _alias_sql() -> str:
+#: The common prefix of a and b, for alias_cases.
+ALIAS_PREFIX = "len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) AS k"
+ALIAS_LISTS = f"{_list(V.GENERIC)} AS g, {_list([*V.TITLE_PREFIXES, *V.SURNAMES])} AS p"
+
+
+def alias_cases() -> tuple[str, str]:
+    """Decision and confidence on names a and b, in SQL."""
     generic = lambda n: _GENERIC_SQL.replace("length(n)", f"length({n})").replace("ends_with(n,", f"ends_with({n},").replace("left(n,", f"left({n},").replace("n = ''", f"{n} = ''").replace("list_contains(g, n)", f"list_contains(g, {n})")
     surname = lambda n: f"CASE WHEN length({n}) >= 2 AND contains({_q(V.SURNAMES)}, left({n}, 1)) THEN left({n}, 1) END"
-    base = f"SELECT event_id, {_pick_sql(_A, 'event_id')} AS a, {_pick_sql(_B, 'event_id')} AS b, {_list(V.GENERIC)} AS g, {_list([*V.TITLE_PREFIXES, *V.SURNAMES])} AS p FROM events"
     rules = [
         (f"({generic('a')}) AND ({generic('b')})", "BLOCK", 0.9),
         (f"({surname('a')}) <> ({surname('b')})", "BLOCK", 0.95),
@@ -101,10 +106,13 @@ def _alias_sql() -> str:
         ("contains(a, b) OR contains(b, a)", "UNCERTAIN", 0.4),
     ]
     case = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN {_q(r[1]) if k == 1 else f'{r[2]}::DOUBLE'}" for r in rules) + (" ELSE 'UNCERTAIN' END" if k == 1 else " ELSE 0.2::DOUBLE END")
-    return f"WITH t AS ({base}), k AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) AS k FROM t) SELECT event_id, a AS name_a, b AS name_b, {case(1)} AS decision, {case(2)} AS confidence FROM k"
+    return case(1), case(2)
+
+
+_DECIDED = f"WITH t AS (SELECT event_id, {_pick_sql(_A, 'event_id')} AS a, {_pick_sql(_B, 'event_id')} AS b, {ALIAS_LISTS} FROM events), k AS (SELECT *, {ALIAS_PREFIX} FROM t) SELECT event_id, a AS name_a, b AS name_b, {alias_cases()[0]} AS decision, {alias_cases()[1]} AS confidence FROM k"
 
 
-@query("alias_decisions", _alias_sql())
+@query("alias_decisions", _DECIDED)
 def alias_decisions(spark, d):
     t = table(spark, d, "events").select("event_id", _pick(_A, "event_id").alias("name_a"), _pick(_B, "event_id").alias("name_b"))
     decision, confidence = R.alias_decision("name_a", "name_b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder: its lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder and read again: its lineage ends there, and it is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def instructions(df: DataFrame, instruction: Column, input_: Column, output: Column, keep: list[str]) -> DataFrame:
@@ -42,6 +42,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def rewrite(df: DataFrame, path: str, by: str = "book") -> None:
-    """Replaces only the partitions that df has: running it again changes nothing."""
+def rewrite(df: DataFrame, path: str, by: str = "book", of: DataFrame | None = None) -> None:
+    """Replaces the partitions that df has: running it again changes nothing.
+
+    `of` names (in its column `by`) all partitions that are replaced: those that df no longer has are deleted.
+    """
+    gone = [] if of is None else [r[0] for r in of.select(by).distinct().join(df.select(by).distinct(), by, "left_anti").collect()]
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if gone:
+        from quillspark.sources.keyed import Files
+
+        files = Files(df.sparkSession, path)
+        at = df.sparkSession.read.parquet(path).where(F.col(by).isin(gone)).select(F.regexp_extract(F.input_file_name(), f"/({by}=[^/]*)/[^/]*$", 1)).distinct()
+        for r in at.collect():  # folders of partitions
+            files.fs.delete(files.jvm.org.apache.hadoop.fs.Path(files.jvm.java.net.URI(f"{path}/{r[0]}")), True)

@@ -1,4 +1,4 @@
-"""Streams of events: session windows, tumbling counts with late data, latest state and keyed memory.
+"""Streams of events: session windows, tumbling counts with late data, latest state of each key.
 
 The same functions take batch and streaming DataFrames.
 """
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.keyed import KeyedTable
+
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -30,15 +32,13 @@ def counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -
     return w.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def upsert_into(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Keeps the latest row of each key in a table: each micro-batch is merged and the table rewritten under a new
-    version, so a batch that runs again gives the same table.  Returns the running query."""
-    from quillspark.operators.relational import latest
+def upsert_into(stream: DataFrame, table: KeyedTable, order: str, checkpoint: str, **trigger):
+    """Keeps the latest row of each key in a table: a micro-batch rewrites the partitions of its keys and no others.
+
+    Batches are numbered, so one that runs again changes nothing.  Returns the running query (default: all there is).
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        every = batch if number == 0 else spark.read.schema(batch.schema).parquet(old).unionByName(batch)
-        latest(every, keys, [order]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        table.upsert(batch, [order], number)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

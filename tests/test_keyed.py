@@ -107,6 +107,17 @@ def test_cascade(spark, tmp_path):
         keyed.cascade(tables, [*keys, keyed.Key("book", ["b"], "note")], "book", F.lit(True))
 
 
+def test_rewrite_drops_what_loses_all(spark, tmp_path):
+    from quillspark.sources import sinks
+
+    t = spark.createDataFrame([(1, "en", "a"), (2, "de", "b c/d=%"), (3, "de", "a")], "id int, lang string, book string")
+    at = f"file://{tmp_path}/r"
+    sinks.rewrite(t, at)
+    for _ in range(2):
+        sinks.rewrite(t.where("lang <> 'de'"), at, of=t)
+        assert [(r.id, r.book) for r in spark.read.parquet(at).collect()] == [(1, "a")]
+
+
 # --- vectors
 
 

@@ -109,9 +109,6 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = {(r.start, r.event_type): r.n for r in stream.counts(df).collect()}
     assert {(r.start, r.event_type): r.n for r in spark.table("c").collect()} == want
-    u = stream.upsert_into(stream.read(spark, str(tmp_path / "in"), df.schema.simpleString()[7:-1].replace(":", " ")), str(tmp_path / "out"), ["user_id"], "event_id", str(tmp_path / "cp"))
-    u.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out" / "v0")).count() == df.select("user_id").distinct().count()
 
 
 def test_filters_reach_the_scan(spark):
