@@ -97,23 +97,19 @@ def _summary(k: int) -> Callable:
 
 
 def _sketch(k: int) -> Callable:
-    """Counts of all shingles of a partition, in chunks of the sketch."""
+    """Counts of all shingles of a partition by slot of the sketch, the slots it has alone."""
 
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, h, _n in _each(batches, k):
             total += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        part = np.array_split(total, 64)
-        yield pa.record_batch([pa.array(np.arange(64)), pa.array([x.astype("<i8").tobytes() for x in part], pa.binary())], names=["chunk", "counts"])
+        slots = np.flatnonzero(total)
+        for i in range(0, len(slots), 1 << 16):
+            yield pa.record_batch([pa.array(slots[i : i + (1 << 16)].astype(np.int32)), pa.array(total[slots[i : i + (1 << 16)]])], names=["slot", "n"])
 
     return run
 
 
-def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
-
-
 def prefix_lengths(sizes: np.ndarray, percent: int, shared: int) -> np.ndarray:
     return np.where(sizes > 0, sizes - -(-percent * sizes // 100) + np.maximum(sizes * shared // 100, 1), 0)
 
@@ -490,13 +486,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
     rows = cuts.cut(texts.mapInArrow(_summary(k), "_id long, n long, sid long"))
     classes = cuts.cut(rows.groupBy("sid").agg(F.first("n").alias("n"), F.min("_id").alias("_id"), F.count(F.lit(1)).alias("size")))
-    chunks = texts.mapInArrow(_sketch(k), "chunk long, counts binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk long, counts binary")
-    counts = [np.frombuffer(r.counts, "<i8") for r in sorted(chunks.collect(), key=lambda r: r.chunk)]
+    slots = texts.mapInArrow(_sketch(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH_BITS
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
     # how often, in steps of a half; where counts are alike the order is by hash
-    rank = np.round(2 * np.log2(np.concatenate(counts) + 1)).astype(np.int16) if counts else np.zeros(1 << SKETCH_BITS, np.int16)
+    rank = np.round(2 * np.log2(counts + 1)).astype(np.int16)
     order = spark.sparkContext.broadcast(rank)
 
-    dealt = texts.mapInArrow(_prefixes(k, percent, order), "token long, sid long").repartition(parts, "token").sortWithinPartitions("token", "sid")
+    firsts = texts.mapInArrow(_prefixes(k, percent, order), "token long, sid long").distinct()  # a class's copies as one, before tokens are dealt
+    dealt = firsts.repartition(parts, "token").sortWithinPartitions("token", "sid")
     cells = cuts.cut(dealt.mapInArrow(_cells, "token long, sid long"))
     needs = classes.select("sid", least_shared("n", percent, SHARED).alias("need"))
     by_token = Window.partitionBy("token")
