@@ -30,38 +30,48 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.where(~F.col("rejected")).select(*[F.col(f"k_{c}").alias(c) for c in cols])
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with _row, an id that no two rows share: doc_id, but for missing and repeated ids.
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with an id that no two rows share, and that column's name: doc_id, but for missing and repeated ids.
 
     Rows of these get numbers from the end of all numbers on, so they come after the others; a table is written then,
     since such numbers must not change.
     """
+    row, mark = _fresh(docs, "_row"), _fresh(docs, "_many")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    many = docs.select(key.alias("_row")).groupBy("_row").count().where((F.col("count") > 1) | (F.col("_row") == NO_ID)).select("_row")
-    keyed = docs.withColumn("_row", key)
+    many = docs.select(key.alias(row)).groupBy(row).agg(F.count(F.lit(1)).alias(mark)).where((F.col(mark) > 1) | (F.col(row) == NO_ID)).select(row)
+    keyed = docs.withColumn(row, key)
     if many.isEmpty():
-        return keyed
+        return keyed, row
     cuts = Cuts(docs.sparkSession)
-    many = cuts.cut(many.withColumn("_many", F.lit(True)))
+    many = cuts.cut(many.withColumn(mark, F.lit(True)))
     few = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
-    return cuts.cut(keyed.join(few, "_row", "left").withColumn("_row", F.when(F.col("_many"), NO_ID - 1 - F.monotonically_increasing_id()).otherwise(F.col("_row"))).drop("_many"))
+    return cuts.cut(keyed.join(few, row, "left").withColumn(row, F.when(F.col(mark), NO_ID - 1 - F.monotonically_increasing_id()).otherwise(F.col(row))).drop(mark)), row
 
 
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Of rows (with _row) those that kept has, without _row."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+def _only(rows: DataFrame, kept: DataFrame, row: str) -> DataFrame:
+    """Of rows those that kept has, without their number."""
+    return rows.join(kept.select(row), row, "left_semi").drop(row)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space apart) one stays: that of most characters, of these the smallest id."""
-    rows = _rows(docs)
-    return _only(rows, exact_dedup(rows, id_col="_row").where("kept")).select(*docs.columns)
+    rows, row = _rows(docs)
+    return _only(rows, exact_dedup(rows.select(row, "text"), id_col=row).where("kept"), row).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the document of smallest id stays."""
-    rows = _rows(docs)
-    return _only(rows, jaccard_components(rows, id_col="_row", k=5, percent=80).where("_row = component_id")).select(*docs.columns)
+    rows, row = _rows(docs)
+    kept = jaccard_components(rows.select(row, "text"), id_col=row, k=5, percent=80)
+    return _only(rows, kept.where(F.col(row) == F.col("component_id")), row).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
