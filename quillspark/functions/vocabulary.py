@@ -132,3 +132,8 @@ POLISH_MARKS = (
     (r"^\s+|\s+$", ""),
 )
 POLISH_END = ((r"[。，；：、？！.,;:!? \t\n\r]+$", ""),)
+
+# fixed values: marks between the names of a target, the word that asks for relations, words that are no part of a name
+NAME_SEPARATORS = ("和", "与", "、", ",", "，", "/", "|", ";", "；")
+RELATION_WORD = "关系"
+TARGET_NOISE = ("追踪", "分析", "关系", "变化", "之间", "的", "在西游记中", "线索")

@@ -13,17 +13,24 @@ from quillspark.functions import vocabulary as V
 
 def term_frequency(df: DataFrame, keys: list[str], text: str, word: str, least: int = 2, top: int = 20) -> DataFrame:
     """Words of each key that occur often, most frequent first."""
-    t = df.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(f"({word})"), 1)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return frequent(df.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(f"({word})"), 1)).alias("term")), keys, "term", least, top)
+
+
+def frequent(df: DataFrame, keys: list[str], term: str, least: int = 2, top: int = 20) -> DataFrame:
+    t = df.groupBy(*keys, F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "term"))
     return t.withColumn("rank", n.cast("int")).where(F.col("rank") <= top)
 
 
-def candidates(df: DataFrame, keys: list[str], text: str, word: str, suffixes: Sequence[str] = V.ENTITY_SUFFIXES, dialogue: Sequence[str] = V.DIALOGUE_PATTERNS, chars: str = "一-鿿", most: int = 30) -> DataFrame:
-    """Candidate names of each chunk: frequent words, names with a title, speakers; by frequency, then code point."""
+def candidates(df: DataFrame, keys: list[str], text: str, word: str, suffixes: Sequence[str] = V.ENTITY_SUFFIXES, dialogue: Sequence[str] = V.DIALOGUE_PATTERNS, chars: str = "一-鿿", most: int = 30, words: DataFrame | None = None) -> DataFrame:
+    """Candidate names of each chunk: frequent words, names with a title, speakers; by frequency, then code point.
+
+    words: (keys, word) of texts without blanks, as segmentation gives them; without it words are matches of `word`.
+    """
     found = [F.regexp_extract_all(text, F.lit(f"([{chars}]{{1,4}}(?:{'|'.join(suffixes)}))"), 1)] if suffixes else []
     found += [F.regexp_extract_all(text, F.lit(p), 1) for p in dialogue]
     other = df.select(*keys, F.explode(F.concat(*found)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")) if found else None
-    every = term_frequency(df, keys, text, word).select(*keys, "term", "n")
+    every = (frequent(words.where(F.char_length("word") >= 2), keys, "word") if words is not None else term_frequency(df, keys, text, word)).select(*keys, "term", "n")
     every = every.unionByName(other) if other is not None else every
     best = every.groupBy(*keys, "term").agg(F.max("n").alias("n"))
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "term"))
