@@ -37,12 +37,12 @@ def candidates(df: DataFrame, keys: list[str], text: str, word: str, suffixes: S
     return best.withColumn("rank", n.cast("int")).where(F.col("rank") <= most)
 
 
-def entity_kind(name: str, locations: Sequence[str] = (), focus: str | None = None, place_marks: str = "山河洞国寺谷岭海湖岛州城", item_marks: str = "棒杖刀剑枪鞭环索扇旗幡珠瓶塔") -> tuple[Column, Column, Column]:
-    """(type, role, confidence) of a candidate name."""
-    n = F.col(name)
+def entity_kind(name: str | Column, locations: Sequence[str] | Column = (), focus: str | None = None, place_marks: str = "山河洞国寺谷岭海湖岛州城", item_marks: str = "棒杖刀剑枪鞭环索扇旗幡珠瓶塔") -> tuple[Column, Column, Column]:
+    """(type, role, confidence) of a candidate name; locations: a list, or an array column."""
+    n = F.col(name) if isinstance(name, str) else name
     place = n.rlike(f"[{place_marks}]") if focus == "place" else F.lit(False)
     item = n.rlike(f"[{item_marks}]") if focus == "item" else F.lit(False)
-    key = n.isin(*locations) if locations else F.lit(False)
+    key = F.array_contains(locations, n) if isinstance(locations, Column) else n.isin(*locations) if locations else F.lit(False)
     kind = F.when(key | place, "LOCATION").when(item, "ITEM").otherwise("CHARACTER")
     return kind, F.when(key | place | item, "CANONICAL").otherwise("UNCERTAIN"), F.when(key, 0.6).when(place | item, 0.5).otherwise(0.3)
 
@@ -58,11 +58,12 @@ def relation_of(text: str, source: str, target: str, verbs: Sequence[str] = V.RE
     return {"relation_type": F.coalesce(kind, F.lit("RELATED_TO")), "confidence": F.when(verb.isNotNull(), 0.4).otherwise(0.2), "evidence": F.left(between, F.lit(80))}
 
 
-def event_of(text: str, name: str, words: Sequence[str] = V.EVENT_WORDS, reach: int = 60) -> dict[str, Column]:
+def event_of(text: str | Column, name: str | Column, words: Sequence[str] = V.EVENT_WORDS, reach: int = 60) -> dict[str, Column]:
     """Event around a name's first place: the first word of action in its context."""
-    at = F.instr(F.col(text), F.col(name))
+    text, name = (F.col(c) if isinstance(c, str) else c for c in (text, name))
+    at = F.instr(text, name)
     start = F.greatest(at - reach, F.lit(1))
-    context = F.substring(F.col(text), start, at + F.char_length(name) + reach - start)
+    context = F.substring(text, start, at + F.char_length(name) + reach - start)
     return {"action": R.first_found(context, words), "context": context, "description": F.concat(F.left(context, F.lit(100)), F.when(F.char_length(context) > 100, "…").otherwise("")), "evidence": F.left(context, F.lit(120))}
 
 

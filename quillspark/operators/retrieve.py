@@ -40,6 +40,35 @@ def lexical(chunks: DataFrame, keywords: DataFrame, query: str, word: str, chunk
     return few.groupBy(query, *chunk_key).agg(F.min("keyword").alias("keyword"), F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
 
 
+def lexical_grams(chunks: DataFrame, keywords: DataFrame, query: str, word: str, chunk_key: list[str], text: str, budget: int = 16, least: int = 2, score: float = 0.8, letters: str = r"\p{L}", stem: int = 4) -> DataFrame:
+    """Chunks whose text contains a keyword (of `letters`, any case): of each keyword the first max(budget / keywords of
+    the question, least) chunks by key, each chunk once a query.
+
+    The first `budget` chunks of a keyword are among the first `budget` of the words that contain it, so each word sends so
+    many chunks and no more (limited before the shuffle, a word may stand in every chunk), and keywords meet the words by
+    grams of at most `stem` letters.  Null, blank and repeated keywords count for nothing; a null text holds none.
+    """
+    some = lambda by, cut: F.row_number().over(Window.partitionBy(by).orderBy(*chunk_key)) <= cut
+    w = chunks.select(*chunk_key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"([{letters}]+)"), 1))).alias("_w"))
+    w = w.withColumn("_few", some("_w", budget)).where("_few").drop("_few")
+    asked = keywords.select(query, F.lower(word).alias("keyword")).where("keyword <> ''").distinct()
+    asked = asked.withColumn("_most", F.greatest(F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy(query))), F.lit(least)))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.char_length("_w"), F.lit(stem))), lambda n: F.transform(F.sequence(F.lit(1), F.char_length("_w") - n + 1), lambda i: F.substring("_w", i, n))))
+    parts = w.select("_w").distinct().select("_w", F.explode(F.array_distinct(grams)).alias("_k"))
+    stems = asked.select("keyword").distinct().withColumn("_k", F.left("keyword", F.lit(stem)))
+    holds = parts.join(stems, "_k").where(F.contains("_w", "keyword")).select("_w", "keyword")
+    hit = holds.join(w, "_w").select("keyword", *chunk_key).distinct()
+    n = F.row_number().over(Window.partitionBy("keyword").orderBy(*chunk_key))
+    few = asked.join(hit.withColumn("_n", n).where(F.col("_n") <= budget), "keyword").where("_n <= _most")
+    return few.groupBy(query, *chunk_key).agg(F.min("keyword").alias("keyword"), F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
+
+
+def expanded(questions: DataFrame, aliases: DataFrame, query: str, question: str, most: int = 5) -> DataFrame:
+    """Questions to embed: behind each the first `most` of its aliases, by code point, that it does not contain."""
+    a = aliases.join(questions, query).where(~F.contains(F.col(question), F.col("alias"))).groupBy(query).agg(F.slice(F.array_sort(F.collect_set("alias")), 1, most).alias("_a"))
+    return questions.join(a, query, "left").select(query, F.concat_ws(" ", question, "_a").alias("text"))
+
+
 def containing(chunks: DataFrame, names: DataFrame, name: str, key: list[str], text: str, stem: int = 4) -> DataFrame:
     """(name, key...) of the chunks whose text contains a name (at least `stem` letters, case as it is).
 
@@ -67,17 +96,17 @@ def expand_aliases(found: DataFrame, profiles: DataFrame, query: str, name: str,
     return a.where(F.char_length("alias") >= least).distinct()
 
 
-def knowledge(branches: list[tuple[DataFrame, str, float, int]], query: str, extra: list[str] = []) -> DataFrame:  # noqa: B006
+def knowledge(branches: list[tuple[DataFrame, str, float, int]], query: str, extra: list[str] = [], per: list[str] = []) -> DataFrame:  # noqa: B006
     """Union of branches of structured knowledge (hits (key, n, text), source, score, most a query), largest n first.
 
-    The id is the first 60 bits of the key's MD5.
+    per: columns of the hits that, with the query, have so many each (what two of them find is there once).  The id is the first 60 bits of the key's MD5.
     """
     out = []
     for hits, source, score, most in branches:
-        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("n"), "key"))
+        rank = F.row_number().over(Window.partitionBy(query, *per).orderBy(F.desc("n"), "key"))
         id_ = F.conv(F.left(F.md5("key"), F.lit(15)), 16, 10).cast("long")
         out.append(hits.withColumn("_n", rank).where(F.col("_n") <= most).select(query, F.lit(source).alias("source"), id_.alias("id"), F.lit(score).alias("score"), "text", *extra))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, [x.distinct() for x in out] if per else out)
 
 
 def contexts(hits: DataFrame, texts: DataFrame, query: str, limits: dict[str, int], top: int) -> DataFrame:

@@ -39,30 +39,28 @@ def _question_vectors(spark, d):
     return q.select("query_id", F.pmod("query_id", "n").alias("vec_id")).join(e, "vec_id").select("query_id", "embedding")
 
 
-#: Questions: benchmark items; keywords: their long words.  A chunk's id is that of its chapter with nine digits more.
+#: Questions: benchmark items; keywords: n-grams of their words and other names of who is named.  A chunk's id is that of its chapter with nine digits more.
 _CHUNK = "chapter_id * 1000000000 + chunk_index"
 _QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
-_KEYWORDS = "keywords AS (SELECT DISTINCT query_id, lower(w) AS keyword FROM (SELECT query_id, unnest(regexp_extract_all(question, '[A-Za-z]{7,}')) AS w FROM questions))"
-_LEX = """hit AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword ORDER BY chapter_id, chunk_index) AS n FROM keywords JOIN chunks ON contains(lower(content), keyword)),
- lexical AS (SELECT query_id, chapter_id, chunk_index, min(keyword) AS keyword, count(*) AS keywords, 0.8::DOUBLE AS score FROM hit WHERE n <= 5 GROUP BY 1, 2, 3)"""
+_KEYWORDS = """runs AS (SELECT query_id, unnest(regexp_extract_all(lower(question), '\\p{L}+')) AS r FROM questions), grams AS (SELECT DISTINCT query_id, substring(r, CAST(i AS INT), CAST(n AS INT)) AS g FROM runs, (SELECT unnest([2, 3, 4]) AS n) x, LATERAL (SELECT unnest(range(1, length(r) - n + 2)) AS i)),
+ keywords AS (SELECT query_id, g AS keyword FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(g), g) AS k FROM grams) WHERE k <= 20 UNION SELECT query_id, unnest(aliases) FROM found JOIN profiles USING (name))"""
+_LEX = """share AS (SELECT query_id, greatest(16 // count(*), 2) AS most FROM keywords GROUP BY 1), hit AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY chapter_id, chunk_index) AS n FROM (SELECT DISTINCT keyword FROM keywords) JOIN chunks ON contains(lower(content), keyword)),
+ lexical AS (SELECT query_id, chapter_id, chunk_index, min(keyword) AS keyword, count(*) AS keywords, 0.8::DOUBLE AS score FROM keywords JOIN share USING (query_id) JOIN hit USING (keyword) WHERE n <= most GROUP BY 1, 2, 3)"""
 
 
 def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def keywords(spark, d):
-    q = questions(spark, d)
-    return q.select("query_id", F.explode(F.regexp_extract_all("question", F.lit("([A-Za-z]{7,})"), 1)).alias("keyword"))
+def keywords(spark, d, found):
+    """The first twenty n-grams of a question's words, and the aliases of the names that it contains."""
+    grams = R.ngram_keywords("lower_", r"\p{L}", stop=())
+    q = questions(spark, d).select("query_id", F.lower("question").alias("lower_"))
+    return q.select("query_id", F.explode(grams).alias("keyword")).unionByName(ret.expand_aliases(found, profiles(spark, d), "query_id", "name", "aliases").withColumnRenamed("alias", "keyword"))
 
 
-def lexical(spark, d):
-    return ret.lexical(T.chunks(spark, d), keywords(spark, d), "query_id", "keyword", ["chapter_id", "chunk_index"], "content", 5)
-
-
-@query("lexical_search", with_views("chunks") + f", {_QUESTIONS}, {_KEYWORDS}, {_LEX} SELECT query_id, chapter_id, chunk_index, keyword, keywords, score FROM lexical")
-def lexical_search(spark, d):
-    return lexical(spark, d)
+def lexical(spark, d, found):
+    return ret.lexical_grams(T.chunks(spark, d), keywords(spark, d, found), "query_id", "keyword", ["chapter_id", "chunk_index"], "content")
 
 
 # --- entities
@@ -78,7 +76,7 @@ _NAMES_IN = "found AS (SELECT query_id, name FROM questions JOIN profiles ON con
 
 
 def _found(spark, d):
-    return ret.names_in(questions(spark, d), profiles(spark, d), "query_id", "question", "name")
+    return ret.names_in(questions(spark, d), profiles(spark, d), "query_id", "question", "name", 4)
 
 
 @query("mention_in_question", with_views("chunks", "mentions") + f", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN} SELECT query_id, name FROM found")
@@ -91,6 +89,18 @@ def alias_expand(spark, d):
     return ret.expand_aliases(_found(spark, d), profiles(spark, d), "query_id", "name", "aliases")
 
 
+@query("lexical_search", with_views("chunks", "mentions") + f", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, {_KEYWORDS}, {_LEX} SELECT query_id, chapter_id, chunk_index, keyword, keywords, score FROM lexical")
+def lexical_search(spark, d):
+    return lexical(spark, d, _found(spark, d))
+
+
+@query("embedding_expansion", with_views("chunks", "mentions") + f""", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, a AS (SELECT DISTINCT query_id, unnest(aliases) AS alias FROM found JOIN profiles USING (name)), b AS (SELECT query_id, list(alias ORDER BY alias)[1:5] AS a FROM a JOIN questions USING (query_id) WHERE NOT contains(question, alias) GROUP BY 1)
+SELECT query_id, question || CASE WHEN a IS NULL THEN '' ELSE ' ' || array_to_string(a, ' ') END AS text FROM questions LEFT JOIN b USING (query_id)""")
+def embedding_expansion(spark, d):
+    """Questions as they are embedded: with five other names of who is named."""
+    return ret.expanded(questions(spark, d), ret.expand_aliases(_found(spark, d), profiles(spark, d), "query_id", "name", "aliases"), "query_id", "question")
+
+
 _EXACT = """five AS (SELECT * FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY mention_count DESC, name) AS n FROM found JOIN profiles USING (name)) WHERE n <= 5),
  held AS (SELECT five.query_id, five.name, c.chapter_id, c.chunk_index FROM five JOIN chunks c ON contains(c.content, five.name)), ex AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY chapter_id, chunk_index) AS n FROM held),
  exact AS (SELECT query_id, chapter_id, chunk_index, min(name) AS name, 0.95::DOUBLE AS score FROM ex WHERE n <= 4 GROUP BY 1, 2, 3)"""
@@ -119,14 +129,14 @@ _KNOW = """near AS (SELECT DISTINCT chapter_id, chunk_index FROM mentions WHERE
  pp AS (SELECT a.chapter_id, a.chunk_index, a.pos AS i, b.pos AS j, a.name AS source, b.name AS target, least(a.name, b.name) AS lo, greatest(a.name, b.name) AS hi
   FROM m2 a JOIN m2 b ON a.chapter_id = b.chapter_id AND a.chunk_index = b.chunk_index AND a.pos < b.pos AND a.pos < 10 AND a.name <> b.name),
  facts AS (SELECT source, target, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, chunk_index, lo, hi ORDER BY i, j) AS k FROM pp) WHERE k = 1 GROUP BY 1, 2),
- entity AS (SELECT query_id, name AS key, mention_count AS n, name || ': ' || mention_count AS text FROM found JOIN profiles USING (name)),
- relation AS (SELECT DISTINCT query_id, source || ' ' || target AS key, n, source || ' ' || target || ': ' || n AS text FROM found JOIN facts ON name = source OR name = target),
- event AS (SELECT query_id, name || ' ' || chapter_id || ' ' || chunk_index AS key, count(*) AS n, name || ' in ' || chapter_id AS text FROM found JOIN m2 USING (name) GROUP BY query_id, name, chapter_id, chunk_index),
+ entity AS (SELECT query_id, name, name AS key, mention_count AS n, name || ': ' || mention_count AS text FROM found JOIN profiles USING (name)),
+ relation AS (SELECT query_id, name, source || ' ' || target AS key, n, source || ' ' || target || ': ' || n AS text FROM found JOIN facts ON name = source OR name = target),
+ event AS (SELECT query_id, name, name || ' ' || chapter_id || ' ' || chunk_index AS key, count(*) AS n, name || ' in ' || chapter_id AS text FROM found JOIN m2 USING (name) GROUP BY query_id, name, chapter_id, chunk_index),
  graph AS (SELECT query_id, target AS key, sum(n)::BIGINT AS n, target AS text FROM found JOIN facts ON name = source GROUP BY 1, 2),
- known AS (SELECT query_id, source, ('0x' || left(md5(key), 15))::BIGINT AS id, score, text FROM (
-  SELECT query_id, 'entity' AS source, key, 0.5::DOUBLE AS score, text, 5 AS most, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, key) AS k FROM entity
-  UNION ALL SELECT query_id, 'relation', key, 0.4::DOUBLE, text, 3, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, key) FROM relation
-  UNION ALL SELECT query_id, 'event', key, 0.35::DOUBLE, text, 3, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, key) FROM event) WHERE k <= most),
+ known AS (SELECT DISTINCT query_id, source, ('0x' || left(md5(key), 15))::BIGINT AS id, score, text FROM (
+  SELECT query_id, 'entity' AS source, key, 0.5::DOUBLE AS score, text, 5 AS most, row_number() OVER (PARTITION BY query_id, name ORDER BY n DESC, key) AS k FROM entity
+  UNION ALL SELECT query_id, 'relation', key, 0.4::DOUBLE, text, 15, row_number() OVER (PARTITION BY query_id, name ORDER BY n DESC, key) FROM relation
+  UNION ALL SELECT query_id, 'event', key, 0.3::DOUBLE, text, 8, row_number() OVER (PARTITION BY query_id, name ORDER BY n DESC, key) FROM event) WHERE k <= most),
  hops AS (SELECT query_id, ('0x' || left(md5(key), 15))::BIGINT AS id, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, key) AS k FROM graph) WHERE k <= 5)"""
 
 
@@ -136,18 +146,18 @@ def _structured(spark, d, found):
     at = ["chapter_id", "chunk_index"]
     near = m.join(m.join(names, "name", "left_semi").select(*at).distinct(), at, "left_semi")
     facts = rel.cooccurring(near, at).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    entity = found.join(profiles(spark, d).select("name", "mention_count"), "name").select("query_id", F.col("name").alias("key"), F.col("mention_count").alias("n"), F.concat("name", F.lit(": "), F.col("mention_count").cast("string")).alias("text"))
+    entity = found.join(profiles(spark, d).select("name", "mention_count"), "name").select("query_id", "name", F.col("name").alias("key"), F.col("mention_count").alias("n"), F.concat("name", F.lit(": "), F.col("mention_count").cast("string")).alias("text"))
     ends = facts.withColumn("name", F.explode(F.array("source", "target")))
     both = F.concat_ws(" ", "source", "target")
-    relation = found.join(ends, "name").select("query_id", both.alias("key"), "n", F.concat(both, F.lit(": "), F.col("n").cast("string")).alias("text")).distinct()
+    relation = found.join(ends, "name").select("query_id", "name", both.alias("key"), "n", F.concat(both, F.lit(": "), F.col("n").cast("string")).alias("text"))
     event = found.join(near, "name").groupBy("query_id", "name", *at).agg(F.count(F.lit(1)).alias("n"))
-    event = event.select("query_id", F.concat_ws(" ", "name", *[F.col(c).cast("string") for c in at]).alias("key"), "n", F.concat("name", F.lit(" in "), F.col("chapter_id").cast("string")).alias("text"))
+    event = event.select("query_id", "name", F.concat_ws(" ", "name", *[F.col(c).cast("string") for c in at]).alias("key"), "n", F.concat("name", F.lit(" in "), F.col("chapter_id").cast("string")).alias("text"))
     graph = found.join(facts.withColumnRenamed("source", "name"), "name").groupBy("query_id", F.col("target").alias("key")).agg(F.sum("n").alias("n")).withColumn("text", F.col("key"))
     return entity, relation, event, graph
 
 
 def _known(entity, relation, event):
-    return ret.knowledge([(entity, "entity", 0.5, 5), (relation, "relation", 0.4, 3), (event, "event", 0.35, 3)], "query_id")
+    return ret.knowledge([(entity, "entity", 0.5, 5), (relation, "relation", 0.4, 15), (event, "event", 0.3, 8)], "query_id", per=["name"])
 
 
 @query("knowledge_search", with_views("chunks", "mentions") + f", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, {_KNOW} SELECT query_id, source, id, score, text FROM known")
@@ -163,7 +173,7 @@ def _hits(spark, d):
     hops = ret.knowledge([(graph, "graph", 0.3, 5)], "query_id", extra=["n"])
     lists = (
         row(_exact(spark, d, found), "exact", F.lit("chunk"), F.expr(_CHUNK), F.col("score")),
-        row(lexical(spark, d), "lexical", F.lit("chunk"), F.expr(_CHUNK), F.col("keywords")),
+        row(lexical(spark, d, found), "lexical", F.lit("chunk"), F.expr(_CHUNK), F.col("keywords")),
         row(_dense(spark, d, _question_vectors(spark, d)), "dense", F.lit("chapter_fact"), F.col("id"), F.col("score")),
         row(_known(*kinds), "knowledge", F.col("source"), F.col("id"), F.col("score")),
         row(hops, "graph", F.lit("graph"), F.col("id"), F.col("n")),
@@ -171,7 +181,7 @@ def _hits(spark, d):
     return reduce(lambda a, b: a.unionByName(b), lists)
 
 
-_LISTS = f"{_QUESTIONS}, {_KEYWORDS}, {_LEX}, {_PROFILES}, {_NAMES_IN}, {_EXACT}, {_KNOW}"
+_LISTS = f"{_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, {_KEYWORDS}, {_LEX}, {_EXACT}, {_KNOW}"
 _FUSED = f"""{_QDENSE}, hits AS (SELECT query_id, 'lexical' AS list, 'chunk' AS source, chapter_id * 1000000000 + chunk_index AS id, keywords::DOUBLE AS score FROM lexical UNION ALL SELECT query_id, 'exact', 'chunk', chapter_id * 1000000000 + chunk_index, score FROM exact
   UNION ALL SELECT query_id, 'dense', 'chapter_fact', id, score FROM dense UNION ALL SELECT query_id, 'knowledge', source, id, score FROM known UNION ALL SELECT query_id, 'graph', 'graph', id, n FROM hops),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY score DESC, source, id) - 1 AS r FROM hits),

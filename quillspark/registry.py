@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules whose import registers their queries.
-MODULES: tuple[str, ...] = ("quillspark.plans.core", "quillspark.plans.text", "quillspark.plans.search", "quillspark.plans.lifecycle", "quillspark.plans.more", "quillspark.plans.indexes", "quillspark.plans.governed", "quillspark.plans.traced")
+MODULES: tuple[str, ...] = ("quillspark.plans.core", "quillspark.plans.text", "quillspark.plans.search", "quillspark.plans.lifecycle", "quillspark.plans.more", "quillspark.plans.indexes", "quillspark.plans.governed", "quillspark.plans.traced", "quillspark.plans.facts")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
