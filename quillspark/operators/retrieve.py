@@ -48,16 +48,16 @@ def lexical_grams(chunks: DataFrame, keywords: DataFrame, query: str, word: str,
     many chunks and no more (limited before the shuffle, a word may stand in every chunk), and keywords meet the words by
     grams of at most `stem` letters.  Null, blank and repeated keywords count for nothing; a null text holds none.
     """
-    some = lambda by, cut: F.row_number().over(Window.partitionBy(by).orderBy(*chunk_key)) <= cut
+    n = F.row_number().over(Window.partitionBy("_w").orderBy(*chunk_key))
     w = chunks.select(*chunk_key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"([{letters}]+)"), 1))).alias("_w"))
-    w = w.withColumn("_few", some("_w", budget)).where("_few").drop("_few")
+    w = w.withColumn("_n", n).where(F.col("_n") <= budget).groupBy("_w").agg(F.collect_list(F.struct(*chunk_key)).alias("_at"))
     asked = keywords.select(query, F.lower(word).alias("keyword")).where("keyword <> ''").distinct()
     asked = asked.withColumn("_most", F.greatest(F.floor(F.lit(budget) / F.count(F.lit(1)).over(Window.partitionBy(query))), F.lit(least)))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.char_length("_w"), F.lit(stem))), lambda n: F.transform(F.sequence(F.lit(1), F.char_length("_w") - n + 1), lambda i: F.substring("_w", i, n))))
-    parts = w.select("_w").distinct().select("_w", F.explode(F.array_distinct(grams)).alias("_k"))
-    stems = asked.select("keyword").distinct().withColumn("_k", F.left("keyword", F.lit(stem)))
-    holds = parts.join(stems, "_k").where(F.contains("_w", "keyword")).select("_w", "keyword")
-    hit = holds.join(w, "_w").select("keyword", *chunk_key).distinct()
+    stems = keywords.select(F.lower(word).alias("keyword")).where("keyword <> ''").distinct().withColumn("_k", F.left("keyword", F.lit(stem)))
+    parts = w.select("_w", "_at", F.explode(F.sequence(F.lit(1), F.char_length("_w"))).alias("_i"))
+    parts = parts.select("_w", "_at", F.explode(F.array(*[F.substring("_w", F.col("_i"), F.lit(k)) for k in range(1, stem + 1)])).alias("_k"))
+    hit = parts.join(stems, "_k").where(F.contains("_w", "keyword")).select("keyword", F.explode("_at").alias("_c"))
+    hit = hit.groupBy("keyword", *[F.col(f"_c.{k}").alias(k) for k in chunk_key]).agg(F.count(F.lit(1)).alias("_words"))
     n = F.row_number().over(Window.partitionBy("keyword").orderBy(*chunk_key))
     few = asked.join(hit.withColumn("_n", n).where(F.col("_n") <= budget), "keyword").where("_n <= _most")
     return few.groupBy(query, *chunk_key).agg(F.min("keyword").alias("keyword"), F.count(F.lit(1)).alias("keywords")).withColumn("score", F.lit(score))
@@ -72,14 +72,14 @@ def expanded(questions: DataFrame, aliases: DataFrame, query: str, question: str
 def containing(chunks: DataFrame, names: DataFrame, name: str, key: list[str], text: str, stem: int = 4) -> DataFrame:
     """(name, key...) of the chunks whose text contains a name (at least `stem` letters, case as it is).
 
-    Names and words of the chunks' vocabulary that share `stem` letters meet in an equi-join and are verified.
+    Each word meets the names by its grams of `stem` letters and is verified; names that are few are sent to the words, so
+    no word is shuffled, only what was found.
     """
     words = F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1))
-    inv = chunks.select(*key, F.explode(words).alias("_w")).where(F.char_length("_w") >= stem)
-    cut = F.transform(F.sequence(F.lit(1), F.char_length("_w") - (stem - 1)), lambda i: F.substring("_w", i, F.lit(stem)))
-    parts = inv.select("_w").distinct().select("_w", F.explode(F.array_distinct(cut)).alias("_k"))
+    w = chunks.select(*key, F.explode(words).alias("_w")).where(F.char_length("_w") >= stem)
+    cut = w.select(*key, "_w", F.explode(F.sequence(F.lit(1), F.char_length("_w") - (stem - 1))).alias("_i")).select(*key, "_w", F.substring("_w", F.col("_i"), F.lit(stem)).alias("_k"))
     wanted = names.select(name).distinct().withColumn("_k", F.left(name, F.lit(stem)))
-    return parts.join(wanted, "_k").where(F.contains("_w", name)).select("_w", name).join(inv, "_w").select(name, *key).distinct()
+    return cut.join(wanted, "_k").where(F.contains("_w", name)).select(name, *key).distinct()
 
 
 def names_in(questions: DataFrame, names: DataFrame, query: str, question: str, name: str, stem: int = 2) -> DataFrame:

@@ -12,6 +12,7 @@ from quillspark.operators import relational as rel
 from quillspark.operators import retrieve as ret
 from quillspark.registry import query
 from quillspark.sources import tables as T
+from quillspark.sources.sinks import checkpointed
 from quillspark.sources.tables import table, with_views
 
 _COS = "round(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6)"
@@ -52,15 +53,16 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def keywords(spark, d, found):
-    """The first twenty n-grams of a question's words, and the aliases of the names that it contains."""
+def keywords(spark, d, named):
+    """The first twenty n-grams of a question's words, and the aliases of the names that it contains, written once."""
     grams = R.ngram_keywords("lower_", r"\p{L}", stop=())
     q = questions(spark, d).select("query_id", F.lower("question").alias("lower_"))
-    return q.select("query_id", F.explode(grams).alias("keyword")).unionByName(ret.expand_aliases(found, profiles(spark, d), "query_id", "name", "aliases").withColumnRenamed("alias", "keyword"))
+    other = named.select("query_id", F.explode("aliases").alias("keyword"))
+    return checkpointed(q.select("query_id", F.explode(grams).alias("keyword")).unionByName(other.where("char_length(keyword) >= 2")))
 
 
-def lexical(spark, d, found):
-    return ret.lexical_grams(T.chunks(spark, d), keywords(spark, d, found), "query_id", "keyword", ["chapter_id", "chunk_index"], "content")
+def lexical(spark, d, named):
+    return ret.lexical_grams(T.chunks(spark, d), keywords(spark, d, named), "query_id", "keyword", ["chapter_id", "chunk_index"], "content")
 
 
 # --- entities
@@ -79,6 +81,11 @@ def _found(spark, d):
     return ret.names_in(questions(spark, d), profiles(spark, d), "query_id", "question", "name", 4)
 
 
+def _named(spark, d):
+    """Names that questions contain, with their profiles: written once, so what is joined with it sees how small it is."""
+    return checkpointed(_found(spark, d).join(profiles(spark, d), "name"))
+
+
 @query("mention_in_question", with_views("chunks", "mentions") + f", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN} SELECT query_id, name FROM found")
 def mention_in_question(spark, d):
     return _found(spark, d)
@@ -91,7 +98,7 @@ def alias_expand(spark, d):
 
 @query("lexical_search", with_views("chunks", "mentions") + f", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, {_KEYWORDS}, {_LEX} SELECT query_id, chapter_id, chunk_index, keyword, keywords, score FROM lexical")
 def lexical_search(spark, d):
-    return lexical(spark, d, _found(spark, d))
+    return lexical(spark, d, _named(spark, d))
 
 
 @query("embedding_expansion", with_views("chunks", "mentions") + f""", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, a AS (SELECT DISTINCT query_id, unnest(aliases) AS alias FROM found JOIN profiles USING (name)), b AS (SELECT query_id, list(alias ORDER BY alias)[1:5] AS a FROM a JOIN questions USING (query_id) WHERE NOT contains(question, alias) GROUP BY 1)
@@ -108,15 +115,14 @@ _EXACT = """five AS (SELECT * FROM (SELECT query_id, name, row_number() OVER (PA
 
 @query("exact_entity_search", with_views("chunks", "mentions") + f""", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, {_EXACT} SELECT query_id, chapter_id, chunk_index, name, score FROM exact""")
 def exact_entity_search(spark, d):
-    return _exact(spark, d, _found(spark, d))
+    return _exact(spark, d, _named(spark, d))
 
 
-def _exact(spark, d, found):
+def _exact(spark, d, named):
     """Chunks that contain a found name, for the five commonest names of a question and four chunks a name."""
     few = rel.first_by  # keep-first by windows
-    f = found.join(profiles(spark, d).select("name", "mention_count"), "name")
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("mention_count"), "name"))
-    five = f.withColumn("n", n).where("n <= 5").select("query_id", "name")
+    five = named.select("query_id", "name", "mention_count").withColumn("n", n).where("n <= 5").select("query_id", "name")
     # names are found in the chunks' words by their first letters, as keywords are
     c = five.join(ret.containing(T.chunks(spark, d), five.select("name"), "name", ["chapter_id", "chunk_index"], "content"), "name")
     n = F.row_number().over(Window.partitionBy("query_id", "name").orderBy("chapter_id", "chunk_index"))
@@ -140,13 +146,14 @@ _KNOW = """near AS (SELECT DISTINCT chapter_id, chunk_index FROM mentions WHERE
  hops AS (SELECT query_id, ('0x' || left(md5(key), 15))::BIGINT AS id, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, key) AS k FROM graph) WHERE k <= 5)"""
 
 
-def _structured(spark, d, found):
+def _structured(spark, d, named):
     """What is known of the names that questions contain: entities, relations, events, neighbours (query_id, key, n, text)."""
-    m, names = T.mentions(spark, d), found.select("name").distinct()
+    m, found = T.mentions(spark, d), named.select("query_id", "name")
+    names = found.select("name").distinct()
     at = ["chapter_id", "chunk_index"]
-    near = m.join(m.join(names, "name", "left_semi").select(*at).distinct(), at, "left_semi")
-    facts = rel.cooccurring(near, at).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    entity = found.join(profiles(spark, d).select("name", "mention_count"), "name").select("query_id", "name", F.col("name").alias("key"), F.col("mention_count").alias("n"), F.concat("name", F.lit(": "), F.col("mention_count").cast("string")).alias("text"))
+    near = checkpointed(m.join(m.join(names, "name", "left_semi").select(*at).distinct(), at, "left_semi"))
+    facts = checkpointed(rel.cooccurring(near, at).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")))
+    entity = named.select("query_id", "name", F.col("name").alias("key"), F.col("mention_count").alias("n"), F.concat("name", F.lit(": "), F.col("mention_count").cast("string")).alias("text"))
     ends = facts.withColumn("name", F.explode(F.array("source", "target")))
     both = F.concat_ws(" ", "source", "target")
     relation = found.join(ends, "name").select("query_id", "name", both.alias("key"), "n", F.concat(both, F.lit(": "), F.col("n").cast("string")).alias("text"))
@@ -162,18 +169,18 @@ def _known(entity, relation, event):
 
 @query("knowledge_search", with_views("chunks", "mentions") + f", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, {_KNOW} SELECT query_id, source, id, score, text FROM known")
 def knowledge_search(spark, d):
-    return _known(*_structured(spark, d, _found(spark, d))[:3])
+    return _known(*_structured(spark, d, _named(spark, d))[:3])
 
 
 def _hits(spark, d):
     """Ranked lists of hits: exact, lexical (chunks), dense (chapter facts), knowledge (entities, relations, events), graph."""
-    found = _found(spark, d)
-    *kinds, graph = _structured(spark, d, found)
+    named = _named(spark, d)
+    *kinds, graph = _structured(spark, d, named)
     row = lambda df, name, source, id_, score: df.select("query_id", F.lit(name).alias("list"), source.alias("source"), id_.alias("id"), score.cast("double").alias("score"))
     hops = ret.knowledge([(graph, "graph", 0.3, 5)], "query_id", extra=["n"])
     lists = (
-        row(_exact(spark, d, found), "exact", F.lit("chunk"), F.expr(_CHUNK), F.col("score")),
-        row(lexical(spark, d, found), "lexical", F.lit("chunk"), F.expr(_CHUNK), F.col("keywords")),
+        row(_exact(spark, d, named), "exact", F.lit("chunk"), F.expr(_CHUNK), F.col("score")),
+        row(lexical(spark, d, named), "lexical", F.lit("chunk"), F.expr(_CHUNK), F.col("keywords")),
         row(_dense(spark, d, _question_vectors(spark, d)), "dense", F.lit("chapter_fact"), F.col("id"), F.col("score")),
         row(_known(*kinds), "knowledge", F.col("source"), F.col("id"), F.col("score")),
         row(hops, "graph", F.lit("graph"), F.col("id"), F.col("n")),
