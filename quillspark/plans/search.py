@@ -101,6 +101,18 @@ def lexical_search(spark, d):
     return lexical(spark, d, _named(spark, d))
 
 
+_LONG = "longs AS (SELECT DISTINCT query_id, lower(w) AS keyword FROM (SELECT query_id, unnest(regexp_extract_all(question, '[A-Za-z]{7,}')) AS w FROM questions))"
+
+
+@query("lexical_long_words", with_views("chunks") + f""", {_QUESTIONS}, {_LONG}, hit AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword ORDER BY chapter_id, chunk_index) AS n FROM longs JOIN chunks ON contains(lower(content), keyword))
+SELECT query_id, chapter_id, chunk_index, min(keyword) AS keyword, count(*) AS keywords, 0.8::DOUBLE AS score FROM hit WHERE n <= 5 GROUP BY 1, 2, 3""")
+def lexical_long_words(spark, d):
+    """Lexical search by whole words of seven letters A to Z and more, five chunks each."""
+    q = questions(spark, d)
+    words = q.select("query_id", F.explode(F.regexp_extract_all("question", F.lit("([A-Za-z]{7,})"), 1)).alias("keyword"))
+    return ret.lexical(T.chunks(spark, d), words, "query_id", "keyword", ["chapter_id", "chunk_index"], "content", 5)
+
+
 @query("embedding_expansion", with_views("chunks", "mentions") + f""", {_QUESTIONS}, {_PROFILES}, {_NAMES_IN}, a AS (SELECT DISTINCT query_id, unnest(aliases) AS alias FROM found JOIN profiles USING (name)), b AS (SELECT query_id, list(alias ORDER BY alias)[1:5] AS a FROM a JOIN questions USING (query_id) WHERE NOT contains(question, alias) GROUP BY 1)
 SELECT query_id, question || CASE WHEN a IS NULL THEN '' ELSE ' ' || array_to_string(a, ' ') END AS text FROM questions LEFT JOIN b USING (query_id)""")
 def embedding_expansion(spark, d):

@@ -102,11 +102,11 @@ def test_index_items_of_long_texts(spark, tmp_path):
     assert at == len(texts[5]) and len(last) > 2
 
 
-def test_lexical_search_of_whole_questions(spark, duck):
+def test_lexical_long_words_of_whole_questions(spark, duck):
     sql = with_views("chunks") + """, k AS (SELECT DISTINCT item_id AS query_id, lower(w) AS keyword FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark)),
      h AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword ORDER BY chapter_id, chunk_index) AS n FROM k JOIN chunks ON contains(lower(content), keyword))
     SELECT query_id, chapter_id, chunk_index, min(keyword), count(*) FROM h WHERE n <= 5 GROUP BY 1, 2, 3"""
-    assert rows(spark, "lexical_search", "query_id", "chapter_id", "chunk_index", "keyword", "keywords") == sorted(duck.sql(sql).fetchall())
+    assert rows(spark, "lexical_long_words", "query_id", "chapter_id", "chunk_index", "keyword", "keywords") == sorted(duck.sql(sql).fetchall())
 
 
 def test_lexical_finds_parts_of_words(spark):
