@@ -116,6 +116,26 @@ def test_segmentation_is_the_cheapest_path(spark, monkeypatch, most):
     assert sorted(r.word for r in none.collect()) == sorted("悟空")
 
 
+def test_segmentation_with_a_dictionary_in_slices(spark, monkeypatch):
+    """Slices of the dictionary and runs cut a few places at a time, against the path of one run alone."""
+    monkeypatch.setattr(segment, "SLICE", 100)
+    monkeypatch.setattr(segment, "PLACES", 50)
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcß𠀀") for _ in range(rng.randint(1, 5))): rng.randint(1, 99) for _ in range(600)}
+    book = segment.costs(spark.createDataFrame(list(words.items()), "word string, n long"))
+    cost = {r.word: r.cost for r in book.collect()}
+    assert len(segment._sent(book, len(cost), int)) >= 4
+    texts = ["".join(rng.choice("abcß𠀀x") for _ in range(rng.choice((1, 7, 40, 300)))) for _ in range(50)]
+    got = {}
+    for r in segment.segment(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t", book, longest=5).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.word)
+    unknown = max(cost.values()) + segment.UNIT
+    for i, t in enumerate(texts):
+        edges = [(a, n, cost[t[a : a + n]]) for a in range(len(t)) for n in range(1, min(5, len(t) - a) + 1) if t[a : a + n] in cost]
+        ends = [0, *segment.best_path(len(t), edges, unknown)]
+        assert got[i] == [t[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def test_candidates_of_text_without_blanks(spark):
     words = segment.costs(spark.createDataFrame([("悟空", 50), ("取经", 9), ("走", 9), ("了", 90)], "word string, n long"))
     df = spark.createDataFrame([(1, "悟空走了取经走了悟空，唐僧师父道：取经。")], "id long, t string")
