@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from quillspark.operators.vector_index import exact_topk
 
 #: Numbers in the vectors of a block of queries.
-SMALL = 2_000_000
+SMALL = 500_000
 
 
 def dense_topk(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, k: int) -> DataFrame:
-    """The k items nearest to each query by cosine: blocks of queries times batches of items, items read once a block."""
+    """The k items nearest to each query by cosine: blocks of queries times pieces of items, both dealt by hash."""
     return exact_topk(items, queries, item_id, query_id, vector, k, SMALL)
 
 

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from quillspark.sources.keyed import Files, KeyedTable
 from quillspark.sources.sinks import checkpointed
 
-SAMPLE, SHELVES, PIECE = 20_000, 16, 50_000
+SAMPLE, SHELVES, PIECE = 20_000, 16, 16_384
+#: Queries of a tile, and those that are multiplied at once: a tile's scores are AT_ONCE x PIECE numbers.
+QUERIES, AT_ONCE = 8_192, 64
 
 
 def unit_rows(v) -> np.ndarray:
@@ -43,20 +45,6 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
     return c
 
 
-def top_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k best scores, ties by id."""
-    if score.shape[1] > k:
-        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-        row, col = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
-    else:
-        row, col = np.nonzero(score > -np.inf)
-    order = np.lexsort((ids[col], -score[row, col], row))
-    row, col = row[order], col[order]
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    nth = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
-    return row[nth < k], col[nth < k]
-
-
 def usable(vector: str) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
@@ -183,9 +171,10 @@ class VectorIndex:
                     bound = np.cos(np.maximum(0, np.arccos(np.clip(cos, -1, 1)) - wide)) + 1e-6
                     near = ~near & (bound >= p["floor"].to_numpy()[:, None])
                 i, j = np.nonzero(near & (pieces > 0)[None, :])
-                for a in range(0, len(i), 10_000):
-                    x, y = np.repeat(i[a : a + 10_000], pieces[j[a : a + 10_000]]), np.repeat(j[a : a + 10_000], pieces[j[a : a + 10_000]])
-                    part = np.concatenate([np.arange(n) for n in pieces[j[a : a + 10_000]]]) if len(x) else x
+                some = max(1, 10_000 // max(1, pieces.max()))
+                for a in range(0, len(i), some):
+                    x, y = np.repeat(i[a : a + some], pieces[j[a : a + some]]), np.repeat(j[a : a + some], pieces[j[a : a + some]])
+                    part = np.concatenate([np.arange(n) for n in pieces[j[a : a + some]]]) if len(x) else x
                     yield pd.DataFrame({"cell": y.astype(np.int32), "piece": part.astype(np.int32), "query_id": p["query_id"].to_numpy()[x], "q": p["q"].to_numpy()[x], "q_book": p["q_book"].to_numpy()[x]})
 
         sent = f"cell int, piece int, query_id long, q array<double>, q_book {self.book}"
@@ -193,20 +182,15 @@ class VectorIndex:
         lists = live.select("cell", F.pmod(F.xxhash64("id"), n_pieces).cast("int").alias("piece"), "id", "book", "vector")
 
         def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-            if len(a) and len(b):
-                v, ids, books = unit_rows(b["vector"]), b["id"].to_numpy(), b["book"].to_numpy()
-                for at in range(0, len(a), 256):
-                    part = a.iloc[at : at + 256]
-                    s = np.round(unit_rows(part["q"]) @ v.T, 6)
-                    asked = part["q_book"].to_numpy()
-                    s[~pd.isna(asked)[:, None] & (asked[:, None] != books[None, :])] = -np.inf
-                    i, j = top_rows(s, ids, k)
-                    out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[i], "id": ids[j], "score": s[i, j]}))
-            return pd.concat(out)
+            return best_pairs(a["query_id"], a["q"], a["q_book"], b["id"], b["vector"], b["book"], k)
+
+        shares = max(1, -(-q.count() // QUERIES))
+        share = F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share")
+        every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+        keys = ["cell", "piece", "share"]
 
         def visit(asked: DataFrame) -> DataFrame:
-            tiles = asked.groupBy("cell", "piece").cogroup(lists.groupBy("cell", "piece"))
+            tiles = asked.select("*", share).groupBy(*keys).cogroup(lists.select("*", every).groupBy(*keys))
             return tiles.applyInPandas(tile, "query_id long, id long, score double")
 
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int")
@@ -220,31 +204,56 @@ class VectorIndex:
         return best(hits.drop("rank").unionByName(visit(more.mapInPandas(lambda b: route(b, False), sent))))
 
 
+def best_pairs(q_ids: pd.Series, q: pd.Series, q_books: pd.Series | None, ids: pd.Series, v: pd.Series, books: pd.Series | None, k: int) -> pd.DataFrame:
+    """Each query's k best of a tile's vectors (query_id, id, score): by cosine rounded to 6 places, then id."""
+    out = [pd.DataFrame({"query_id": q_ids.iloc[:0], "id": ids.iloc[:0], "score": np.zeros(0)})]
+    if len(q_ids) and len(ids):
+        u, v, q_ids, ids = unit_rows(q), unit_rows(v), q_ids.to_numpy(), ids.to_numpy()
+        for at in range(0, len(u), AT_ONCE):
+            s = u[at : at + AT_ONCE] @ v.T
+            if q_books is not None:
+                asked = q_books.to_numpy()[at : at + AT_ONCE]
+                s[~pd.isna(asked)[:, None] & (asked[:, None] != books.to_numpy()[None, :])] = -np.inf
+            i, j, score = top_rows(s, ids, k)
+            out.append(pd.DataFrame({"query_id": q_ids[at + i], "id": ids[j], "score": score}))
+    return pd.concat(out)
+
+
+def top_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of each row's k best scores rounded to 6 places, ties by id.
+
+    A row's candidates are those within two millionths of its k-th score as it is; only these are rounded.
+    """
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1] - 2e-6 if score.shape[1] > k else np.full(len(score), -np.inf)
+    row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    s = np.round(score[row, col], 6)
+    order = np.lexsort((ids[col], -s, row))
+    row, col, s = row[order], col[order], s[order]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+    return row[keep], col[keep], s[keep]
+
+
 def exact_topk(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str, k: int, block: int) -> DataFrame:
     """The k items nearest to each query by cosine (rounded to 6 places, ties by id), without an index.
 
-    Queries are a stated set, worked in blocks of `block` numbers that go to the tasks whole; a task multiplies each
-    Arrow batch with a block and passes on its k best of each query.  Items are read once a block.
+    Queries are dealt by hash into blocks of about `block` numbers, items into pieces of about PIECE; a task multiplies a
+    block with a piece, AT_ONCE queries at a time, and passes on the k best of each query.  Neither side passes through
+    the driver or is whole in a task; items are sent once a block, queries once a piece.
     """
-    sent = queries.where(usable(vector)).select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
-    size = sent.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // block))
-    out = None
-    kinds = dict(items.dtypes)[item_id], dict(queries.dtypes)[query_id]
-    schema = f"{query_id} {kinds[1]}, {item_id} {kinds[0]}, score double"
-    for n in range(parts):
-        p = sent.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == n).toPandas()  # about `block` numbers
-        u, names = unit_rows(p["v"]), p["q"].to_numpy()
-
-        def run(batches, u=u, names=names):
-            for b in batches:
-                if len(u) and len(b):
-                    ids = b["i"].to_numpy()
-                    s = np.round(u @ unit_rows(b["v"]).T, 6)
-                    i, j = top_rows(s, ids, k)
-                    yield pd.DataFrame({query_id: names[i], item_id: ids[j], "score": s[i, j]})
-
-        got = items.where(usable(vector)).select(F.col(item_id).alias("i"), F.col(vector).alias("v")).mapInPandas(run, schema)
-        out = got if out is None else out.unionByName(got)
+    q = queries.where(usable(vector)).select(F.col(query_id).alias("q"), F.col(vector).alias("u"))
+    v = items.where(usable(vector)).select(F.col(item_id).alias("i"), F.col(vector).alias("v"))
+    size, n = q.agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0], v.count()
+    blocks, pieces = max(1, -(-size // block)), max(1, -(-n // PIECE))
+    kinds = dict(queries.dtypes)[query_id], dict(items.dtypes)[item_id]
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.select("*", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return best_pairs(a["q"], a["u"], None, b["i"], b["v"], None, k)
+
+    tiles = dealt(q, "q", "block", blocks, "piece", pieces).groupBy("block", "piece").cogroup(dealt(v, "i", "piece", pieces, "block", blocks).groupBy("block", "piece"))
+    out = tiles.applyInPandas(tile, f"query_id {kinds[0]}, id {kinds[1]}, score double").select(F.col("query_id").alias(query_id), F.col("id").alias(item_id), "score")
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
     return out.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)

@@ -1,6 +1,7 @@
 """Tables in key partitions and the vector index: upserts, deletes by filter, cascades, changes that were cut off."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import retrieve
 from quillspark.operators.vector_index import VectorIndex
-from quillspark.sources import keyed
+from quillspark.sources import keyed, sinks
 
 
 @pytest.fixture
@@ -186,3 +187,45 @@ def test_dense_topk_without_vectors(spark):
     q = v.withColumnRenamed("id", "query_id")
     assert [tuple(r) for r in retrieve.dense_topk(v, q, "id", "query_id", "embedding", 3).collect()] == [(3, 3, 1.0, 1)]
     assert retrieve.dense_topk(v, q.limit(0), "id", "query_id", "embedding", 3).collect() == []
+
+
+def test_a_tile_of_many_queries_takes_no_matrix_of_all_scores():
+    import tracemalloc
+
+    import pandas as pd
+
+    from quillspark.operators.vector_index import best_pairs
+
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-2, 3, (9_000, 4)).astype(float), rng.integers(-2, 3, (3_000, 4)).astype(float)
+    v[(v == 0).all(axis=1), 0] = q[(q == 0).all(axis=1), 0] = 1
+    ids = rng.permutation(len(v))
+    args = pd.Series(np.arange(len(q))), pd.Series(list(q)), None, pd.Series(ids), pd.Series(list(v)), None, 10
+    tracemalloc.start()
+    got = best_pairs(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores are 216 MB
+    for i in (0, 63, 64, 2_999):
+        s = np.round(v @ q[i] / np.linalg.norm(v, axis=1) / np.linalg.norm(q[i]), 6)
+        want = np.lexsort((ids, -s))[:10]
+        assert got[got.query_id == i][["id", "score"]].values.tolist() == [[ids[j], s[j]] for j in want]
+
+
+def test_search_by_tiles_is_that_of_all_at_once(spark, monkeypatch):
+    """Queries in shares and cells in pieces, some rows of a book alone: the same hits as in whole cells."""
+    from quillspark.operators import vector_index as vi
+
+    monkeypatch.setattr(vi, "PIECE", 7)
+    monkeypatch.setattr(vi, "QUERIES", 5)
+    e = spark.range(60).selectExpr("id", "cast(id % 3 as int) book", "array(sin(id), cos(id * 3), sin(id * 7)) vector")
+    index = vi.VectorIndex(spark, f"{sinks.shared_folder(spark)}/tiles-{uuid.uuid4().hex}", "int", shelves=2, buckets=2)
+    index.fit(e, 4)
+    index.upsert(e)
+    q = e.where("id % 4 = 0").selectExpr("id query_id", "vector", "if(id % 8 = 0, book, null) book")
+    got = {(r.query_id, r["rank"]): r.id for r in index.search(q, 3, 2, exact=True).collect()}
+    rows = {r.id: (r.book, r.vector) for r in e.collect()}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+    for r in q.collect():
+        near = sorted((-cos(r.vector, v), i) for i, (b, v) in rows.items() if r.book is None or b == r.book)[:3]
+        assert [got[r.query_id, n] for n in (1, 2, 3)] == [i for _, i in near]
