@@ -145,3 +145,17 @@ def test_dense_topk_in_parts(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(retrieve, "SMALL", 15)
     assert run() == want and len(want) == 120
+
+
+def test_splitters_take_no_batches_of_whole_texts(spark):
+    """Rows go to Python by the hundred, and texts that stay whole not at all; null and empty texts are one empty segment."""
+    from quillspark.operators import split
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a" * 10), (4, "b" * 11), (5, "𠀀" * 11)], "id long, t string")
+    got = split.smart_split(df, "t", 10, keep=["id"])
+    assert sorted((r.id, r.split_index, r.total_splits, r.content, r.strategy) for r in got.collect()) == sorted(
+        [(1, 0, 1, "", "none"), (2, 0, 1, "", "none"), (3, 0, 1, "a" * 10, "none"), *((i, j, 2, c * n, "exact_half") for i, c in ((4, "b"), (5, "𠀀")) for j, n in ((0, 5), (1, 6)))]
+    )
+    for out in (got, split.split_fixed(df, "t"), split.split_chapters(df, "t"), split.chunk(df, "t")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
