@@ -127,7 +127,8 @@ class KeyedTable:
         if buckets:
             stage = f"{self.path}/stage"
             self.files.delete(stage)
-            rows.select("*", self.bucket()).repartition(len(buckets), BUCKET).write.partitionBy(BUCKET).parquet(f"{stage}/data")
+            # a bucket of many rows is written by several tasks, so no task grows with the table
+            rows.select("*", self.bucket()).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{stage}/data")
             written = {n for n in self.files.names(f"{stage}/data") if n.startswith(BUCKET)}
             empty = [f"{BUCKET}={b}" for b in buckets if f"{BUCKET}={b}" not in written]
             self.files.write(f"{stage}/note", json.dumps({"empty": empty, "number": number}))

@@ -229,3 +229,17 @@ def test_search_by_tiles_is_that_of_all_at_once(spark, monkeypatch):
     for r in q.collect():
         near = sorted((-cos(r.vector, v), i) for i, (b, v) in rows.items() if r.book is None or b == r.book)[:3]
         assert [got[r.query_id, n] for n in (1, 2, 3)] == [i for _, i in near]
+
+
+def test_a_bucket_of_many_rows_is_written_by_several_tasks(spark, table):
+    t = table(1)
+    said = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in said.items():
+        spark.conf.set(k, v)
+    try:
+        t.upsert(spark.range(20_000).selectExpr("cast(id as int) k", "sha2(string(id), 256) v", "1 n"))
+    finally:
+        for k in said:
+            spark.conf.unset(k)
+    assert len([f for f in t.files.names(f"{t.path}/data/kb=0") if f.endswith(".parquet")]) > 1
+    assert t.read().count() == 20_000
