@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vocabulary as V
 from quillspark.operators.extract import entity_kind, event_of
+from quillspark.sources.sinks import checkpointed
 
 #: Candidates of a chunk that are looked at, names that open a pair, names that have an event, relations kept, participants.
 MOST, OPENING, ACTING, RELATIONS, PRESENT = 20, 10, 8, 20, 5
@@ -61,7 +62,8 @@ def extracted(chunks: DataFrame, keys: list[str], book: str, text: str, candidat
     found = F.filter(F.slice(with_hints("_cands", "names", "aliases", "locations"), 1, MOST), lambda n: F.contains(F.col("_text"), n))
     df = df.withColumn("_found", found).withColumn("_entities", F.transform("_found", lambda n: _entity(n, focus, marks)))
     df = df.withColumn("_names", F.filter(F.transform("_entities", lambda e: e["name"]), lambda n: F.contains(F.col("_text"), n)))
-    df = df.withColumn("_relations", _relations("_names", "_text", verbs, kinds))
+    df = df.withColumn("_named", F.transform(F.array_distinct("_names"), lambda n: F.struct(n.alias("name"), F.instr(F.col("_text"), n).alias("at"))))
+    df = df.withColumn("_relations", _relations("_named", F.size(F.array_distinct(F.slice("_names", 1, OPENING))), "_text", verbs, kinds))
     few = F.when(F.size("_relations") > RELATIONS, F.slice(F.array_sort("_relations"), 1, RELATIONS)).otherwise(F.col("_relations"))
     relations = F.transform(few, lambda r: r.dropFields("less", "at"))
     return df.select(*keys, F.col("_entities").alias("entities"), relations.alias("relations"), _events("_names", "_text", actions).alias("events"))
@@ -77,17 +79,18 @@ def _first(words: Sequence[str], text: Column) -> Column:
     return reduce(lambda out, w: F.when(text.contains(w), F.lit(w)).otherwise(out), reversed(words), F.lit(None).cast("string"))
 
 
-def _relations(names: str, text: str, verbs: Sequence[str], kinds: dict[str, Sequence[str]]) -> Column:
-    """A name that occurs twice opens and meets where it occurs first, so pairs are those of distinct names, each once."""
-    opening, every = F.array_distinct(F.slice(names, 1, OPENING)), F.array_distinct(names)
-    pair = lambda a, i: F.transform(F.slice(every, i + 2, MOST), lambda b: _pair(a, b, F.col(text)))
-    named = F.transform(F.flatten(F.transform(opening, pair)), lambda p: p.withField("verb", _first(verbs, p["between"])))
-    return F.transform(named, lambda p, i: _relation(p, i, kinds))
+def _relations(named: str, opening: Column, text: str, verbs: Sequence[str], kinds: dict[str, Sequence[str]]) -> Column:
+    """A name that occurs twice opens and meets where it occurs first, so pairs are those of distinct names, each once.
+
+    named: the distinct names with their first places; the first `opening` of them open.
+    """
+    pair = lambda a, i: F.transform(F.slice(named, i + 2, MOST), lambda b: _pair(a, b, F.col(text)))
+    pairs = F.flatten(F.transform(F.slice(named, F.lit(1), opening), pair))
+    return F.transform(F.transform(pairs, lambda p: p.withField("verb", _first(verbs, p["between"]))), lambda p, i: _relation(p, i, kinds))
 
 
 def _pair(a: Column, b: Column, text: Column) -> Column:
-    i, j = F.instr(text, a), F.instr(text, b)
-    return F.struct(a.alias("source"), b.alias("target"), F.substring(text, F.least(i, j), F.abs(i - j)).alias("between"))
+    return F.struct(a["name"].alias("source"), b["name"].alias("target"), F.substring(text, F.least(a["at"], b["at"]), F.abs(a["at"] - b["at"])).alias("between"))
 
 
 def _relation(p: Column, at: Column, kinds: dict[str, Sequence[str]]) -> Column:
@@ -106,6 +109,15 @@ def _events(names: str, text: str, actions: Sequence[str]) -> Column:
     return F.filter(F.transform(F.slice(names, 1, ACTING), event), lambda e: e["event_type"].isNotNull())
 
 
+def exploded(x: DataFrame, keys: list[str], part: str, ordinal: str, value: str) -> DataFrame:
+    """Rows of an array of `extracted`: keys, ordinal, value.
+
+    The generator is an outer one with a filter behind it: Spark gives an inner one a filter on the array's size, and that
+    goes down to the chunks with all of the array's expression, several times over.
+    """
+    return x.select(*keys, F.posexplode_outer(part).alias(ordinal, value)).where(F.col(ordinal).isNotNull())
+
+
 def chapter_fact_rows(x: DataFrame, keys: list[str], chunk: str) -> DataFrame:
     """Facts of chapters (keys), a row each: (keys, part, chunk, ordinal, name, other, kind, surfaces, text, confidence, evidence_id).
 
@@ -114,8 +126,8 @@ def chapter_fact_rows(x: DataFrame, keys: list[str], chunk: str) -> DataFrame:
     repeats included.  A chapter is rows, not one value, so its length is no bound; surfaces are distinct, partially
     aggregated.
     """
-    at = [*keys, chunk]
-    e = x.select(*at, F.posexplode("entities").alias("ordinal", "e")).select(*at, "ordinal", "e.*")
+    at, x = [*keys, chunk], checkpointed(x)  # three parts are read from it
+    e = exploded(x, at, "entities", "ordinal", "e").select(*at, "ordinal", "e.*")
     seen = e.groupBy(*keys, "name", "surface").agg(F.min(F.struct(chunk, "ordinal", "confidence")).alias("first"))
     c = seen.groupBy(*keys, "name").agg(F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("first", "surface"))).alias("s"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first", "name")) - 1
@@ -123,11 +135,11 @@ def chapter_fact_rows(x: DataFrame, keys: list[str], chunk: str) -> DataFrame:
         *keys, F.lit("character").alias("part"), F.col(f"first.{chunk}").alias(chunk), F.col("n").alias("ordinal"), "name", F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("kind"),
         F.transform("s", lambda v: v["surface"]).alias("surfaces"), F.lit(None).cast("string").alias("text"), F.col("first.confidence").alias("confidence"), F.concat(F.lit("ev_"), F.col(f"first.{chunk}").cast("string"), F.lit("_"), F.col("n").cast("string")).alias("evidence_id"),
     )
-    r = x.select(*at, F.posexplode("relations").alias("ordinal", "r")).select(
+    r = exploded(x, at, "relations", "ordinal", "r").select(
         *keys, F.lit("relation").alias("part"), chunk, "ordinal", F.col("r.source").alias("name"), F.col("r.target").alias("other"), F.col("r.relation_type").alias("kind"),
         F.lit(None).cast(_NONE).alias("surfaces"), F.col("r.evidence").alias("text"), F.col("r.confidence").alias("confidence"), F.lit(None).cast("string").alias("evidence_id"),
     )
-    v = x.select(*at, F.posexplode("events").alias("ordinal", "v")).select(
+    v = exploded(x, at, "events", "ordinal", "v").select(
         *keys, F.lit("event").alias("part"), chunk, "ordinal", F.col("v.name").alias("name"), F.lit(None).cast("string").alias("other"), F.col("v.event_type").alias("kind"),
         F.col("v.participants").alias("surfaces"), F.col("v.description").alias("text"), F.col("v.confidence").alias("confidence"), F.lit(None).cast("string").alias("evidence_id"),
     )

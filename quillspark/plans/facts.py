@@ -60,7 +60,7 @@ def extraction(spark, d):
 
 
 def _rows(spark, d, part):
-    return extraction(spark, d).select(*_AT, F.posexplode(part).alias("ordinal", "x")).select(*_AT, "ordinal", "x.*")
+    return rf.exploded(extraction(spark, d), _AT, part, "ordinal", "x").select(*_AT, "ordinal", "x.*")
 
 
 @query("extracted_entities", _SQL + " SELECT chapter_id, chunk_index, ordinal, surface, name, entity_type, role, confidence FROM entities")

@@ -113,3 +113,12 @@ def test_knowledge_of_two_names_is_there_once(spark):
     hits = spark.createDataFrame([(1, n, f"k{i}", i, "t") for n in "ab" for i in range(9)], "q int, name string, key string, n int, text string")
     got = retrieve.knowledge([(hits, "event", 0.3, 5)], "q", per=["name"])
     assert got.count() == 5
+
+
+def test_no_filter_repeats_the_expressions_of_a_chunk(spark):
+    """A filter on the size of an exploded array would hold the array's whole expression, several times."""
+    import __spark_entry__
+
+    for name in ("extracted_entities", "extracted_relations", "extracted_events"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "lambdafunction" in x]
