@@ -15,9 +15,9 @@ from quillspark.sources.sinks import checkpointed
 
 #: Costs are whole millionths, so equal paths are equal however they are summed.
 UNIT = 1_000_000
-#: Words of a dictionary that is sent to the tasks (as hashes and costs, 20 bytes each), words of a slice of it, and
-#: characters whose paths are sought together (some 150 bytes each).
-BROADCAST_WORDS, SLICE, PLACES = 32_000_000, 4_000_000, 250_000
+#: Words of a dictionary that is sent to the tasks (as hashes and costs, 20 bytes each), words of a slice of it and of a piece
+#: that the driver gets, and characters whose paths are sought together (some 150 bytes each).
+BROADCAST_WORDS, SLICE, PIECE, PLACES = 32_000_000, 2_000_000, 250_000, 250_000
 
 
 def lexicon(df: DataFrame, text: str, word: str = r"\p{L}+", least: int = 1) -> DataFrame:
@@ -164,19 +164,39 @@ def best_paths(runs: list[str], table: Table, longest: int, unknown: int) -> lis
     return out
 
 
+def _packed(kind: type):
+    """Of the words of a piece (hashes and costs) one row: their arrays as bytes, sorted by hash."""
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        h, g, cost = p["h"].to_numpy(np.int64).view(np.uint64), p["g"].to_numpy(np.int64).astype(np.uint32), p["cost"].to_numpy(kind)
+        at = np.lexsort((g, h))
+        return pd.DataFrame({"piece": p["piece"].iloc[:1], "h": [h[at].tobytes()], "g": [g[at].tobytes()], "cost": [cost[at].tobytes()]})
+
+    return pack
+
+
 def _sent(known: DataFrame, count: int, kind: type) -> list[Broadcast]:
-    """The dictionary's hashes and costs, a slice at a time through the driver."""
-    parts = 1
+    """The dictionary's hashes and costs, a slice at a time through the driver.
+
+    Tasks sort and pack pieces of some PIECE words; the driver gets their bytes, a few pieces at a time, and no rows of words.
+    """
+    parts = pieces = 1
     while count / parts > SLICE:
         parts *= 2
-    rows = known.select(_hashed("word").alias("x"), "cost").select("x.*", "cost")
-    rows = checkpointed(rows.repartition("h")) if parts > 1 else rows
-    out = []
+    while count / pieces > min(SLICE, PIECE):
+        pieces *= 2
+    piece = F.shiftrightunsigned("h", 64 - (pieces - 1).bit_length()) if pieces > 1 else F.lit(0).cast("long")
+    rows = known.select(_hashed("word").alias("x"), "cost").select("x.*", "cost").withColumn("piece", piece)
+    packed = checkpointed(rows.groupBy("piece").applyInPandas(_packed(kind), "piece long, h binary, g binary, cost binary"))
+    got, out = packed.sort("piece").toLocalIterator(), []
+    row = next(got, None)
     for i in range(parts):
-        p = rows.where(F.shiftrightunsigned("h", 64 - (parts - 1).bit_length()) == i).toPandas() if parts > 1 else rows.toPandas()
-        h = p["h"].to_numpy(np.int64).view(np.uint64)
-        at = np.lexsort((p["g"].to_numpy(), h))
-        out.append(known.sparkSession.sparkContext.broadcast((h[at], p["g"].to_numpy().astype(np.uint32)[at], p["cost"].to_numpy(kind)[at])))
+        h, g, cost = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, kind)]
+        while row is not None and row["piece"] * parts // pieces == i:
+            for x, name in ((h, "h"), (g, "g"), (cost, "cost")):
+                x.append(np.frombuffer(row[name], x[0].dtype))
+            row = next(got, None)
+        out.append(known.sparkSession.sparkContext.broadcast(tuple(map(np.concatenate, (h, g, cost)))))
     return out
 
 

@@ -217,3 +217,25 @@ def test_white_space_of_excerpts_is_that_of_the_sql(spark):
     got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(around("t", F.lit("Anna"), F.lit("Anna"))).collect()]
     flat = [duckdb.execute(f"SELECT {_FLAT.format('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] for t in texts]
     assert got == flat
+
+
+def test_dictionaries_pass_the_driver_as_bytes(spark, monkeypatch):
+    """Pieces that tasks have sorted and packed: the driver collects no rows of words, and slices hold all of them."""
+    import numpy as np
+    import pyspark.sql.classic.dataframe as classic
+
+    words = spark.range(3000).selectExpr("concat('w', id) AS word", "id AS cost")
+    want = sorted((r.h % (1 << 64), r.g, r.cost) for r in words.select(segment._hashed("word").alias("x"), "cost").select("x.*", "cost").collect())
+
+    def never(self):
+        raise AssertionError("words are collected")
+
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(classic.DataFrame, name, never)
+    monkeypatch.setattr(segment, "SLICE", 1000)
+    monkeypatch.setattr(segment, "PIECE", 100, raising=False)
+    slices = [w.value for w in segment._sent(words, 3000, np.int32)]
+    assert len(slices) == 4 and all(len(set((h >> np.uint64(62)).tolist())) == 1 for h, _, _ in slices)
+    assert [x for s in slices for x in zip(*(a.tolist() for a in s))] == want
+    none = segment._sent(words.where("false"), 1, np.int64)
+    assert [len(a) for a in none[0].value] == [0, 0, 0]
