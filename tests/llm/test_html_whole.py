@@ -139,3 +139,30 @@ def test_alignment_of_blocks_with_other_texts():
         assert len(set(got.values())) == len(got)
         score = sum((a.nodes[x][0] == b.nodes[y][0]) + (a.nodes[x][1] is not None and a.nodes[x][1] == b.nodes[y][1]) for x, y in got.items())
         assert score == brute(nested(a, a.root), nested(b, b.root))
+
+
+def test_wide_nodes_are_matched_as_narrow_ones(monkeypatch):
+    """Children beyond WIDE cells match as by the definition: rows with a cell of other text, not equal subtrees alone."""
+    rng = random.Random(4)
+    row = lambda i, j: f"<section><p>row {i}</p><p>{rng.choice(('yes', 'no', f'only {j}'))}</p></section>"
+    many = lambda at, tag: "".join(row(i, at + i) if rng.random() < 0.7 else f"<{tag}>{rng.randint(0, 9)}</{tag}>" for i in range(at, at + 60))
+    for wide, kept in ((0, 50), (100, 4_000_000)):
+        for at in range(6):
+            pages = [html_text.Tree(html_text.parse(f"<div>{many(s, rng.choice(('p', 'ul')))}</div>")) for s in (0, 7 * at)]
+            monkeypatch.setattr(html_text, "WIDE", 10**9)
+            want = html_text.align(*pages)
+            monkeypatch.setattr(html_text, "WIDE", wide)
+            monkeypatch.setattr(html_text, "KEPT", kept, raising=False)
+            got = html_text.align(*pages)
+            assert got == want
+    a, b = pages
+    score = sum(1 + (a.nodes[x][1] is not None and a.nodes[x][1] == b.nodes[y][1]) for x, y in got.items())
+    assert score == brute(nested(a, a.root), nested(b, b.root))
+
+
+def test_many_rows_of_a_table_find_their_partners():
+    """1,200 rows of which no two pages have an equal one: each matches its like, cell by cell."""
+    page = lambda n, d: "<table>" + "".join(f"<tr><td>name {i}</td><td>told by day {d}</td></tr>" for i in range(n)) + "</table>"
+    a, b = html_text.Tree(html_text.parse(page(1200, 1))), html_text.Tree(html_text.parse(page(1150, 2)))
+    got = html_text.align(a, b)
+    assert sum(a.nodes[x][1] is not None and a.nodes[x][1] == b.nodes[y][1] for x, y in got.items()) == 1150
